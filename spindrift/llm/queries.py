@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, held_out
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, ~held_out(4, 2))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +33,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(5, 0))
+    return quality.predict(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
