@@ -47,11 +47,13 @@ class Scratch:
         self._n = 0
         atexit.register(_remove, spark, self.path)
 
-    def save(self, df: DataFrame, *, bucket: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         to = f"{self.path}/{self._n}"
         schema = df.schema
         df.write.mode("overwrite").parquet(to)
+        # shuffle files of what is now a table go when the driver's JVM finds them unused
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(to)
 
     def drop(self, df: DataFrame) -> None:

@@ -39,6 +39,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ctw
+
+    got = ctw.score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out(10, 0))
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
