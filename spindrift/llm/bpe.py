@@ -270,24 +270,28 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-def digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token count and hashes of the ids and of what they decode to, for each document."""
+def digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Token count and hashes of the ids and of what they decode to, for each document; the ids themselves if asked for."""
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoder(file.value)
         for batch in batches:
-            count, id_sha, text_sha = [], [], []
+            count, id_sha, text_sha, lists = [], [], [], []
             for ids, n in encode_texts(batch.column(1).to_pylist(), file.value):
                 ends = np.cumsum(n)
                 count += n.tolist()
                 id_sha += _shas(enc.digits, ids, ends)
                 text_sha += _shas(enc.strings, ids, ends)
+                if with_ids:
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)))
             cols = [batch.column(0), pa.array(count, pa.int64()), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                cols.append(pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {dict(rows.dtypes)['k']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:

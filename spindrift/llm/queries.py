@@ -60,6 +60,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and after three standard edits of it, by its tree."""
+    import public_tokenizers
+
+    from . import tokcount
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    before = tokcount.trees(documents(spark, sf_dir), ranks, pattern)
+    before = before.withColumn("doc_id", F.struct("doc_id", "n_tokens", F.cardinality("chars").cast("long").alias("n_pretokens")))
+    after = tokcount.apply_edits(before, tokcount.standard_edits(), ranks, pattern)
+    return after.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.n_pretokens", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_encoded").alias("n_pretokens_encoded"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
