@@ -209,7 +209,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding"
     scratch, parts = Scratch(spark, "embeddings"), partitions(spark)
     kind = dict(vectors.dtypes)[key]
     rows = scratch.save(vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e")).mapInArrow(_clean, f"key {kind}, node long, vec binary"))
-    one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "vec")).alias("m"), F.count("*").alias("copies")).select("node", "copies", F.col("m.key").alias("rep"), F.col("m.vec").alias("vec")))
+    one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("rep"), F.first("vec").alias("vec")))
     plan = Plan.of(one.count(), threshold)
     index = scratch.save(one.select("node", "copies", "vec").mapInArrow(_index(plan), "node long, copies long, vec binary, code binary, factor double, buckets array<long>"))
 

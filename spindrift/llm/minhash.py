@@ -263,7 +263,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     scratch = Scratch(spark, "minhash")
     depth, parts = depth_for(similarity), partitions(spark)
     rows = scratch.save(signed(docs, key, text, k))
-    one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("key", "sig")).alias("m")).select("node", F.col("m.key").alias("rep"), F.col("m.sig").alias("sig")))
+    one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")))
 
     order = one.select("node", "sig").mapInArrow(_orders, "tree int, k1 long, k2 long, k3 long, node long")
     order = order.repartitionByRange(parts, "tree", "k1", "k2", "k3", "node").sortWithinPartitions("tree", "k1", "k2", "k3", "node")

@@ -330,8 +330,8 @@ def _cut(place: int, text: int | None, digest_only: bool):
 def _with_spans(docs: DataFrame, key: str, text: str, hot: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = _numbered(docs, key, text, scratch)
-    spans = scratch.save(intervals(rows, scratch, hot)).groupBy("doc").agg(F.collect_list("span").alias("__spans"))
-    return rows.join(spans, rows["__doc"] == spans["doc"], "left")
+    spans = scratch.save(intervals(rows, scratch, hot)).groupBy(F.col("doc").alias("__span_doc")).agg(F.collect_list("span").alias("__spans"))
+    return rows.join(spans, rows["__doc"] == spans["__span_doc"], "left")
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
