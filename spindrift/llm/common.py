@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is one chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -99,6 +99,26 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by long keys; only the open one is held."""
+    held: list[pa.RecordBatch] = []
+    open_key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys])
+        at = [0, *(np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            key = tuple(g[:, a].tolist())
+            if held and key != open_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            open_key = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ---------------------------------------------------------------- hashing
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -2,25 +2,24 @@
 
 1. Each text becomes its set of word shingles, a 64-bit name of that set and a signature:
    TREES trees of LEVELS values. Texts of one set are one node from here on.
-2. Each tree is an order of all nodes by its values (then by the next tree's: deeper
-   levels). Rows are dealt by range of the order, ties by node, so a group of any size is
-   spread. Nodes that share the first `depth` values form a region. A small region gives
-   all its pairs; in a large one depth adapts: neighbours by longest common prefix are
-   candidates, and the region's members are kept for step 4.
-3. Every node's likeliest candidate is confirmed on full sets; confirmed links give
-   components.
-4. Candidates and members of large regions that still lie in different components are
-   confirmed too: what a large region's neighbours don't tell is so found exactly.
-
-`depth` follows from the similarity: a pair just at the threshold shares a region of some
-tree with a probability of at least RECALL. Ends of one component are not compared again:
-links inside a component can't change it.
+2. Each tree is an order of all nodes by its values. Rows are dealt by range of the
+   order, ties by node, so a group of any size is spread. Neighbours in an order whose
+   longest common prefix has at least `depth` values are candidates; runs of such
+   neighbours in any tree make families, as deep or shallow as their region is.
+3. A family's full sets are compared exactly, by products of their incidence matrices; a
+   forest of the links leaves the task, never the pairs. A family of more than BLOCK sets
+   or BLOCK_BYTES is cut into blocks, each pair of blocks a group of its own, so no pair
+   of a family is left out.
+4. Links give components.
+
+`depth` follows from the similarity: a pair just at the threshold is in one family with a
+probability of at least RECALL.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 fewer words than a shingle has are one shingle; equal sets are linked; rows are documents,
 so repeated rows and keys are linked by their texts alone; a null key has no part in the
 least key of a component, which is null if all are; an empty table gives an empty result;
-other columns pass through.
+other columns pass through (keep_one: rows of a key stay or go together).
 """
 
 from __future__ import annotations
@@ -32,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, mix, partitions, prefix_hash, span_hash, text_buffer, words
-from .components import components
+from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, groups, mix, partitions, prefix_hash, span_hash, text_buffer, words
+from .components import components, forest
 
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 TREES, LEVELS, RECALL = 32, 8, 0.9999
-#: A region of up to so many nodes gives all its pairs.
-SMALL_REGION = 12
+#: Sets, and bytes of them, that a task compares with each other or with as many.
+BLOCK, BLOCK_BYTES = 2048, 24 << 20
+#: Columns of an incidence matrix at once.
+_COLUMNS = 4096
 SEED = 20_240_517
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 1 << 63, TREES * LEVELS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,7 +131,7 @@ def signed(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node and tree: the tree's eight values, then the first four of the next tree, packed in three longs that sort by prefix."""
+    """A row for each node and tree: the tree's eight values packed in two longs that sort by prefix."""
     shift = np.array([48, 32, 16, 0], np.uint64)
     for batch in batches:
         n = batch.num_rows
@@ -140,103 +141,82 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = buf.view(np.uint16).reshape(n, TREES, LEVELS).astype(np.uint64)
         k1 = (sig[:, :, :4] << shift).sum(2, dtype=np.uint64)
         k2 = (sig[:, :, 4:] << shift).sum(2, dtype=np.uint64)
-        cols = [np.tile(np.arange(TREES, dtype=np.int32), n), k1.ravel().view(np.int64), k2.ravel().view(np.int64), np.roll(k1, -1, axis=1).ravel().view(np.int64), np.repeat(batch.column(0).to_numpy(), TREES)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tree", "k1", "k2", "k3", "node"])
+        cols = [np.tile(np.arange(TREES, dtype=np.int32), n), k1.ravel().view(np.int64), k2.ravel().view(np.int64), np.repeat(batch.column(0).to_numpy(), TREES)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tree", "k1", "k2", "node"])
 
 
 def _neighbours(depth: int):
-    """Over a sorted run of an order: candidate pairs (a, b, -) and members (node, -, region) of regions that are large or touch the run's ends."""
-    drop = np.uint64(16 * max(0, 8 - max(depth, 4)))
-    drop1 = np.uint64(16 * max(0, 4 - depth))
+    """Over a sorted run of the orders: neighbours (a, b, -) that share `depth` values, and one node (a, -, region) of the run's first and last regions, which may go on elsewhere."""
+    drop1, drop2 = np.uint64(16 * max(0, 4 - depth)), np.uint64(16 * (8 - max(depth, 4)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)  # region and node of the open region
-        open_large, first = False, True
-
-        def out(a, b, member, region):
-            cols = [pa.array(np.concatenate([a, member])), pa.array(np.concatenate([b, np.zeros(len(member), np.int64)]), mask=np.arange(len(a) + len(member)) >= len(a)), pa.array(np.concatenate([np.zeros(len(a), np.int64), region]), mask=np.arange(len(a) + len(member)) < len(a))]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "region"])
-
-        def work(rows: np.ndarray, last: bool):
-            """Handles all rows but, unless last, those of an open small region; returns what stays open."""
-            nonlocal open_large, first
-            region, node = rows
-            n = len(node)
-            new = np.ones(n, bool)
-            new[1:] = region[1:] != region[:-1]
-            at = np.flatnonzero(new)
-            size = np.diff(np.append(at, n))
-            big = size > SMALL_REGION
-            had_large = open_large
-            big[0] |= had_large
-            end = np.zeros(len(at), bool)
-            end[0] |= first
-            end[-1] |= last
-            keep_from = n
-            if not last:
-                if big[-1]:
-                    open_large = True
-                else:
-                    keep_from = at[-1]
-                    open_large = False
-                if len(at) > 1 or big[-1]:
-                    first = first and len(at) == 1
-            no = np.cumsum(new) - 1
-            pairs = []
-            for g in range(1, SMALL_REGION):
-                i = np.flatnonzero((no[g:] == no[:-g]) & ((g == 1) | ~big[no[g:]]) & (np.arange(g, n) < keep_from))
-                if not len(i) and g > 1:
-                    break
-                pairs.append(np.stack([node[i], node[i + g]]))
-            p = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            p = p[:, p[0] != p[1]]
-            m = np.flatnonzero((big | end)[no] & (np.arange(n) < keep_from))
-            if had_large:
-                m = m[m > 0]  # the first row was told before
-            stays = rows[:, keep_from:] if keep_from < n else rows[:, -1:] if not last else rows[:, :0]
-            if keep_from == n and not last:
-                stays = rows[:, -1:]
-            return out(np.minimum(*p), np.maximum(*p), node[m], region[m]), stays
+    def rows(a, b, region):
+        n, m = len(b), len(region)
+        cols = [pa.array(a), pa.array(np.concatenate([b, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([np.zeros(n, np.int64), region]), mask=np.arange(n + m) < n)]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "region"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, k1, k2, node = (batch.column(c).to_numpy() for c in (0, 1, 2, 4))
+            tree, k1, k2, node = (batch.column(c).to_numpy() for c in range(4))
             p1 = (k1.view(np.uint64) >> drop1) << drop1
-            p2 = (k2.view(np.uint64) >> drop) << drop if depth > 4 else np.zeros(len(k2), np.uint64)
+            p2 = (k2.view(np.uint64) >> drop2) << drop2 if depth > 4 else np.zeros(len(k2), np.uint64)
             with np.errstate(over="ignore"):
                 region = mix(mix(p1 + tree.astype(np.uint64) * _PLACE[62]) + p2).view(np.int64)
-            rows = np.concatenate([held, np.stack([region, node])], axis=1)
-            got, held = work(rows, False)
-            if got.num_rows:
-                yield got
-        if held.shape[1]:
-            got, _ = work(held, True)
-            if got.num_rows:
-                yield got
+            none = np.zeros(0, np.int64)
+            if last is None:
+                yield rows(node[:1], none, region[:1])
+            else:
+                region, node = np.concatenate([last[0], region]), np.concatenate([last[1], node])
+            i = np.flatnonzero((region[1:] == region[:-1]) & (node[1:] != node[:-1]))
+            if len(i):
+                child, root = forest(node[i], node[i + 1])
+                yield rows(child, root, none)
+            last = region[-1:], node[-1:]
+        if last is not None:
+            yield rows(last[1], np.zeros(0, np.int64), last[0])
 
     return run
 
 
-def _confirm(similarity: tuple[int, int]):
+def overlaps(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n x n sizes of the intersections of sets, given as elements and the set each is of."""
+    kinds, at = np.unique(x, return_inverse=True)
+    shared = np.bincount(at, minlength=len(kinds)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    at, of = column[at[keep]], of[keep]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((n, n), np.float32)  # whole numbers up to 2**24 are exact
+    for c in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        i, j = np.searchsorted(at, [c, c + _COLUMNS])
+        m = np.zeros((n, _COLUMNS if at[-1] >= c + _COLUMNS else int(at[-1]) + 1 - c), np.float32)
+        m[of[i:j], at[i:j] - c] = 1
+        out += m @ m.T
+    return out
+
+
+def _compare(similarity: tuple[int, int]):
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = batch.column(0), batch.column(1), batch.num_rows
-            x, xo, _ = text_buffer(batch.column(2))
-            y, yo, _ = text_buffer(batch.column(3))
-            x, y, xo, yo = x.view(np.uint64), y.view(np.uint64), xo // 8, yo // 8
-            keep = np.zeros(n, bool)
-            for i in range(n):
-                p, q = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                if len(p) > len(q):
-                    p, q = q, p
-                if not len(p) or den * len(p) < num * len(q):
-                    continue
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep[i] = den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+        for t in groups(batches, ["family", "i", "j"]):
+            n = t.num_rows
+            if n < 2:
+                continue
+            node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+            buf, off, _ = text_buffer(t.column("s"))
+            size = np.diff(off) // 8
+            both = overlaps(buf.view(np.uint64), np.repeat(np.arange(n), size), n).astype(np.int64)
+            ok = den * both >= num * (size[:, None] + size[None, :] - both)
+            if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+                ok &= block[:, None] != block[None, :]
+            a, b = np.nonzero(np.triu(ok, 1))
+            if len(a):
+                child, root = forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root])], names=["a", "b"])
 
     return run
 
@@ -245,14 +225,14 @@ def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column(0).to_numpy()
-            for i, j, x, has, starts in _sets(batch.column(1), k):
+            for i, j, x, has, starts in _sets(batch.column(2), k):
                 if not len(has):
                     continue
                 name = names(x, starts)
                 ends = np.append(starts, len(x))
                 mine = np.flatnonzero(name == want[i:j][has])
                 sets = [x[ends[m] : ends[m + 1]].tobytes() for m in mine.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(name[mine]), pa.array(sets, pa.binary())], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[mine]), batch.column(1).slice(i, j - i).take(pa.array(has[mine])), pa.array(sets, pa.binary())], names=["node", "family", "s"])
 
     return run
 
@@ -265,43 +245,26 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     rows = scratch.save(signed(docs, key, text, k))
     one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")))
 
-    order = one.select("node", "sig").mapInArrow(_orders, "tree int, k1 long, k2 long, k3 long, node long")
-    order = order.repartitionByRange(parts, "tree", "k1", "k2", "k3", "node").sortWithinPartitions("tree", "k1", "k2", "k3", "node")
+    order = one.select("node", "sig").mapInArrow(_orders, "tree int, k1 long, k2 long, node long")
+    order = order.repartitionByRange(parts, "tree", "k1", "k2", "node").sortWithinPartitions("tree", "k1", "k2", "node")
     near = scratch.save(order.mapInArrow(_neighbours(depth), "a long, b long, region long"))
-    pairs = scratch.save(near.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("c")))
-    members = near.where("b is null").select(F.col("a").alias("node"), "region")
-
-    # full sets of the nodes that are in any candidate
-    shared = members.groupBy("region").agg(F.count("*").alias("m")).where("m > 1").select("region")
-    members = members.join(shared, "region", "left_semi")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(members.select("node")).distinct()
-    wanted = one.select("node", "rep").join(ends, "node", "left_semi")
+    ends = near.where("b is null")  # two rows for each partition
+    first = ends.groupBy("region").agg(F.min("a").alias("b"))
+    edges = near.where("b is not null").select("a", "b").union(ends.join(first, "region").select("a", first["b"]))
+    family = components(edges, scratch).select("node", F.col("root").alias("family"))
+
+    # full sets of the nodes that have any candidate
+    wanted = one.select("node", "rep").join(family, "node")
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("t"))
-    sets = scratch.save(wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("node", "t").mapInArrow(_full_sets(k), "node long, s binary").dropDuplicates(["node"]))
-
-    def confirm(cand: DataFrame) -> DataFrame:
-        left = cand.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
-
-    # the likeliest candidate of each node
-    sides = pairs.select("a", "b", "c").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-    best = sides.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    links = scratch.save(confirm(best))
-    root = scratch.save(components(links, scratch))
-
-    # what still lies apart: other candidates, and members of one region
-    ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("ra")), root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    placed = scratch.save(members.distinct().join(root, "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")))
-    count = placed.groupBy("region", "root").agg(F.count("*").alias("c"))
-    main = count.groupBy("region").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("region", F.col("m.root").alias("main"))
-    split = placed.join(main, "region")
-    outside = split.where("root <> main").select("region", F.col("node").alias("x"), F.col("root").alias("rx"))
-    inside = split.select("region", F.col("node").alias("y"), F.col("root").alias("ry"))
-    across = outside.join(inside, "region").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = scratch.save(confirm(apart.union(across).distinct()))
-    root = components(links.union(more), scratch)
+    full = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("node", "family", "t")
+    sets = scratch.save(full.mapInArrow(_full_sets(k), "node long, family long, s binary").dropDuplicates(["node"]))
+    stats = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = sets.select("node", "family").join(stats, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wide = sets.select("node", "s").join(dealt, "node").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    links = wide.mapInArrow(_compare(similarity), "a long, b long")
+    root = components(links, scratch)
 
     least = one.select("node", "rep").join(root, "node").groupBy("root").agg(F.min("rep").alias("component"))
     of_node = root.join(least, "root").select("node", "component")
