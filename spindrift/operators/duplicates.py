@@ -39,21 +39,28 @@ def bands_for(similarity: float, size: int = SIGNATURE) -> tuple[int, int]:
     return max(fit, key=lambda x: x[1]) if fit else (size, 1)
 
 
-def _signature(size: int):
+def _signature(size: int, k: int):
     rng = np.random.default_rng(77)
     a = rng.integers(1, 1 << 62, size, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 62, size, dtype=np.int64).astype(np.uint64)
 
     @F.pandas_udf("array<long>")
-    def signature(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None or not len(h):
+    def signature(texts: pd.Series) -> pd.Series:
+        from xxhash import xxh64_intdigest
+
+        def one(t):
+            if t is None:
                 return None
-            with np.errstate(over="ignore"):
-                x = np.asarray(h, dtype=np.int64).astype(np.uint64)[:, None] * a + b
-            return (x >> np.uint64(2)).min(0).astype(np.int64)
+            w = t.split(" ")
+            grams = {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+            h = np.array([xxh64_intdigest(g) for g in grams], dtype=np.uint64)
+            low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+            for i in range(0, len(h), 4096):
+                with np.errstate(over="ignore"):
+                    low = np.minimum(low, (h[i : i + 4096, None] * a + b).min(0))
+            return (low >> np.uint64(2)).astype(np.int64)
 
-        return hashes.map(one)
+        return texts.map(one)
 
     return signature
 
@@ -65,7 +72,7 @@ def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     n rows gives n pairs, not n squared: a row of a chain has its nearest predecessor."""
     bands, rows = bands_for(similarity, size)
     clean = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), comparable(F.col(text)).alias("t"))
-    sig = clean.select("key", _signature(size)(F.transform(shingles(F.col("t"), k), lambda s: F.xxhash64(s))).alias("sig"))
+    sig = clean.select("key", _signature(size, k)("t").alias("sig"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sig", i * rows + 1, F.lit(rows))))
     banded = sig.select("key", "sig", F.posexplode(cut).alias("band", "bucket"))
     w = Window.partitionBy("band", "bucket").orderBy("key")
