@@ -119,7 +119,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """From scores alone: the least ratio, over thresholds that enough positives pass, of the unlabelled and positive shares above."""
-    cuts = np.quantile(positive, np.arange(0.05, 0.96, 0.05))
+    cuts = np.quantile(positive, np.arange(0.05, 0.66, 0.05))
     p, u = (positive[:, None] >= cuts).mean(0), (unlabelled[:, None] >= cuts).mean(0)
     return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
 
@@ -155,8 +155,9 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> Model:
     both = np.concatenate([pos, unl])
     edges = np.stack([np.quantile(both[:, k], np.arange(1, BINS) / BINS) for k in range(both.shape[1])])
     if prior is None:
-        first = _minimise(pos, unl, 0.5, edges)
-        prior = estimate_prior(first.score(pos), first.score(unl))
+        # estimated on halves that the first model has not learnt, or it would know its positives
+        first = _minimise(pos[::2], unl[::2], 0.5, edges)
+        prior = estimate_prior(first.logit(pos[1::2]), first.logit(unl[1::2])) if len(pos) > 1 and len(unl) > 1 else 0.5
     model = _minimise(pos, unl, float(np.clip(prior, 0.02, 0.98)), edges)
     _calibrate(model, pos, unl)
     return model
