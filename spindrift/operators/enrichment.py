@@ -133,6 +133,17 @@ def enrich(df: DataFrame, key: str, prompt: str, fields: dict[str, str], ask: Ca
     return out.select(*df.columns, F.from_json("answer", ", ".join(f"`{k}` {v}" for k, v in fields.items())).alias("__a"), "__h").select(*df.columns, *[F.col(f"__a.`{k}`") for k in fields])
 
 
+def judge(df: DataFrame, key: str, text: str, verdict: Callable[[list], list], every: int = 97, most: int = 25) -> DataFrame:
+    """(key, ok): a provider's verdict on a systematic sample, which is bounded because a judge is slow."""
+    picked = df.where(F.col(key) % every == 0).orderBy(key).limit(most).select(F.col(key), F.col(text).alias("t"))
+
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({key: pdf[key], "ok": verdict(pdf["t"].tolist())})
+
+    return picked.mapInPandas(run, f"`{key}` {dict(picked.dtypes)[key]}, ok boolean")
+
+
 def model_benchmark(runs: DataFrame) -> DataFrame:
     """Scores by model of (model, valid, usable, tokens, millis), best first."""
     out = runs.groupBy("model").agg(F.avg(F.col("valid").cast("double")).alias("valid"), F.avg(F.col("usable").cast("double")).alias("usable"), (F.sum("tokens") / (F.sum("millis") / 1000)).alias("tokens_per_s"), F.avg("millis").alias("millis"))

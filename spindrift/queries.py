@@ -287,6 +287,11 @@ def alloc_zipf(spark, d):
     return _alloc(spark, d, "zipf")
 
 
+@query(_alloc_sql("pow((((i * (SELECT min(m) FROM (SELECT unnest(range(greatest(1, floor(n * 0.6180339887)::BIGINT), n + 2)) AS m) WHERE gcd(m, n) = 1) + n // 3) % n) + 0.5) / n, 1 / 1.7 - 1)"))
+def alloc_skewed(spark, d):
+    return _alloc(spark, d, "skewed")
+
+
 @query()
 def alloc_skewed_report(spark, d):
     n = table(spark, d, "supplier").count()
@@ -311,10 +316,11 @@ def state_clamped(spark, d):
     return out.select("event_id", F.col("`state.level`").alias("level"))
 
 
-@query()
+@query(SQL["state_clamped"])
 def state_clamped_long(spark, d):
-    df = table(spark, d, "events").select("event_id", "user_id", "ts", F.coalesce("value", F.lit(0.0)).alias("v"))
-    return simulation.fold_long(df, "user_id", "event_id", "level", 50.0, "v", 0, 500, 2).select("event_id", "level")
+    df = table(spark, d, "events").withColumn("v", F.round(F.coalesce("value", F.lit(0.0)), 0) - 40)
+    df = df.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("event_id", "user_id", "v", "k")
+    return simulation.fold_long(df, "user_id", "k", "level", 50.0, "v", 0.0, 500.0).select("event_id", "level")
 
 
 _SCEN = f"(('0x' || substr(md5('7|scenario|' || user_id || '|outage|0'), 1, 13))::UBIGINT::DOUBLE / 4503599627370496) < 0.4"  # noqa: F541
@@ -472,7 +478,7 @@ def dup_exact(spark, d):
     return table(spark, d, "documents").withColumn("x", duplicates.exact("text", "doc_id")).where("x").select("doc_id")
 
 
-@query()
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k > 1""")
 def dup_normalized(spark, d):
     return table(spark, d, "documents").withColumn("x", duplicates.normalized("text", "doc_id")).where("x").select("doc_id")
 
@@ -517,7 +523,11 @@ def partition_values(spark, d):
     return table(spark, d, "events").select("event_id", partition_value(F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))).alias("part"))
 
 
-@query()
+_M, _O = simulation._permutation(50)
+
+
+@query(f"""SELECT event_id, floor({u_sql('event_id', 'uniform')} * 50)::BIGINT AS uniform, greatest(0, least(floor(exp({u_sql('event_id', 'zipf')} * (ln(50) + 0.5772156649 + 0.01) - 0.5772156649) + 0.5)::BIGINT - 1, 49)) AS zipf,
+(((least(floor(pow({u_sql('event_id', 'skewed')}, 1.7::DOUBLE) * 50)::BIGINT, 49) - {_O}) * {pow(_M, -1, 50)}) % 50 + 50) % 50 AS skewed FROM events""")
 def stream_subjects(spark, d):
     df = table(spark, d, "events")
     return df.select("event_id", *[simulation.stream_subject(F.col("event_id"), 50, draws("event_id", h), h, 1.7).alias(h) for h in ("uniform", "zipf", "skewed")])
@@ -546,6 +556,21 @@ def project(spark: SparkSession):
     return Project(PROJECT, spark)
 
 
+@query()
+def semantic_judge(spark, d):
+    """A judge of every 97th record, of 25 at most."""
+    from spindrift.operators.enrichment import judge
+
+    return judge(table(spark, d, "documents"), "doc_id", "text", lambda texts: [len(t or "") > 100 for t in texts])
+
+
+@query()
+def schema_lint(spark, d):
+    from spindrift.plans.lint import lint
+
+    return spark.createDataFrame([tuple(f) for f in lint(project(spark))], "rule string, place string, severity string, message string")
+
+
 @query()
 def project_login(spark, d):
     return project(spark).records("login").drop("_chaos")
