@@ -54,11 +54,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(to)
         # shuffle files of what is now a table go when the driver's JVM finds them unused
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(to)
+        out = self.spark.read.schema(schema).parquet(to)
+        out._scratch = to
+        return out
 
     def drop(self, df: DataFrame) -> None:
-        for f in df.inputFiles()[:1]:
-            _remove(self.spark, f.rsplit("/", 1)[0])
+        """Deletes a table that nothing reads any more."""
+        _remove(self.spark, df._scratch)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
