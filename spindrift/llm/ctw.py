@@ -21,6 +21,8 @@ gives an empty result; words are compared by 64-bit hashes; no other column is r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, prefix_hash, span_hash, text_buffer, words
 
 DEPTH = 5  # context bytes; a key packs them and the byte itself in a long
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 #: Stands for the end among the words' hashes.
 _END_WORD = 0
 SMOOTH = 0.1
@@ -176,6 +178,41 @@ def _ask(table: pa.Table) -> pa.Table:
     })
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values on their way back as a few long rows for each block: keys, then doubles for words (counts) or floats for bytes (logarithms)."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        block, word, k, v = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((k, word, block))
+        block, word, k, v = block[order], word[order], k[order], v[order]
+        at = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (word[1:] != word[:-1])))
+        cut = list(zip(at.tolist(), np.append(at[1:], len(k)).tolist(), strict=True))
+        ks = [k[a:b].tobytes() for a, b in cut]
+        vs = [v[a:b].tobytes() if word[a] else v[a:b].astype(np.float32).tobytes() for a, b in cut]
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(word[at]), pa.array(ks, pa.binary()), pa.array(vs, pa.binary())], names=["block", "word", "k", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            size += batch.num_rows
+        if size >= 200_000:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _unpack(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, values) of one kind."""
+    rows = table.filter(pa.array(table.column("word").to_numpy().astype(bool) == word))
+    k = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("k").to_pylist()] or [np.zeros(0, np.int64)])
+    v = np.concatenate([np.frombuffer(x, np.float64 if word else np.float32) for x in rows.column("v").to_pylist()] or [np.zeros(0)])
+    order = np.argsort(k, kind="stable")
+    return k[order], v[order].astype(np.float64)
+
+
 def _look_up(known: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     code, kinds = pd.factorize(asked)
     return values[np.searchsorted(known, kinds)][code]
@@ -208,15 +245,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     value = keys.groupBy(group.alias("g")).applyInArrow(values, "word boolean, k long, v double")
     value = value.union(summed.where("word").select("word", "k", F.col("n").cast("double").alias("v")))
-    told = scratch.save(asked.drop("n").join(value, ["word", "k"]).select("block", "word", "k", "v"))
+    told = asked.drop("n").join(value, ["word", "k"]).select("block", "word", "k", "v")
+    told = scratch.save(told.mapInArrow(_pack, "block int, word boolean, k binary, v binary"))
     scratch.drop(asked)
+    scratch.drop(summed)
 
     def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("word").to_numpy().astype(bool)
-        k, v = right.column("k").to_numpy(), right.column("v").to_numpy()
-        order = np.argsort(k, kind="stable")
-        k, v, is_word = k[order], v[order], is_word[order]
-        word, count, k, log_p = k[is_word], v[is_word], k[~is_word], v[~is_word]
+        (word, count), (k, log_p) = _unpack(right, True), _unpack(right, False)
         log_base, known = np.log10((count + SMOOTH) / denominator), (count > 0).astype(float)
         end = int(np.searchsorted(word, _END_WORD))
         buf, off, _ = text_buffer(left.column("t"))
