@@ -9,7 +9,7 @@ linear. A pair is compatible if merging by rank would never join across the seam
 is decided by undoing merges on both sides and kept in a table. The result is exactly
 that of merging by rank.
 
-Words repeat, so a bounded two-generation cache keeps encoded words in each worker.
+Words repeat, so a bounded two-generation cache keeps encoded words in each task.
 The vocabulary file has a fixed size (checked) and is broadcast.
 
 Defined results: null is empty; an empty text has no tokens and decodes to ""; repeated
@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: The most a vocabulary file may have to be broadcast.
 MOST_VOCABULARY_BYTES = 64 << 20
-#: Encoded words that a worker keeps, in each of two generations.
-CACHE_WORDS = 150_000
+#: Encoded words that a task keeps, in each of two generations.
+CACHE_WORDS = 100_000
 #: Texts are handled in groups of about this many characters.
 GROUP_CHARS = 2 << 20
 _NONE = -1
@@ -125,7 +127,7 @@ class Encoder:
                 before, a = a, self.right[a]
             else:
                 before, b = b + 1, self.left[b]
-        if len(self.compatible) > 500_000:
+        if len(self.compatible) > 200_000:
             self.compatible.clear()
         self.compatible[key] = answer
         return answer
@@ -200,15 +202,11 @@ class Words(dict):
 # (alternatives that begin differently may stand in any order: the commonest is first)
 _UNICODE = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 _ASCII = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+"
-_encoders: dict[str, tuple[Encoder, Words]] = {}
-
 
 def encoder(file: bytes) -> tuple[Encoder, Words]:
-    key = hashlib.sha256(file).hexdigest()
-    if key not in _encoders:
-        e = Encoder(file)
-        _encoders[key] = (e, Words(e))
-    return _encoders[key]
+    """An encoder with its cache of words. A task has its own and drops it, as workers outlive stages and their memory counts."""
+    e = Encoder(file)
+    return e, Words(e)
 
 
 def _patterns():
@@ -238,9 +236,8 @@ def pre_tokens(text: str, enc: Encoder, find) -> list[str]:
     return out
 
 
-def encode_texts(texts: list[str | None], file: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encode_texts(texts: list[str | None], enc: Encoder, cache: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For groups of texts: (ids of all, number of ids of each)."""
-    enc, cache = encoder(file)
     find = _patterns()
     group: list[bytes] = []
     size = 0
@@ -275,10 +272,11 @@ def digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoder(file.value)
+        enc, cache = encoder(file.value)
         for batch in batches:
+            trim()
             count, id_sha, text_sha, lists = [], [], [], []
-            for ids, n in encode_texts(batch.column(1).to_pylist(), file.value):
+            for ids, n in encode_texts(batch.column(1).to_pylist(), enc, cache):
                 ends = np.cumsum(n)
                 count += n.tolist()
                 id_sha += _shas(enc.digits, ids, ends)
@@ -299,9 +297,10 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, cache = encoder(file.value)
         for batch in batches:
             at = 0
-            for ids, n in encode_texts(batch.column(1).to_pylist(), file.value):
+            for ids, n in encode_texts(batch.column(1).to_pylist(), enc, cache):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), lists], names=["k", "ids"])
                 at += len(n)

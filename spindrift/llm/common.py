@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,9 +68,21 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# ---------------------------------------------------------------- memory
+def trim() -> None:
+    """Gives memory that was freed back to the system: workers live on between stages, and an executor's limit counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- text buffers
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets of n+1 texts, valid) of a string column without copying; null is empty."""
+    if len(col) >= 1000:  # once a batch
+        trim()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
         if isinstance(col, pa.ChunkedArray):

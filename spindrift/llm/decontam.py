@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
-Each task lays the words of about four megabytes of documents out as numbers, sorts the
+Each task lays the words of about two megabytes of documents out as numbers, sorts the
 suffixes that can match (a word suffix array of the shard) and binary-searches every
 benchmark suffix in it. The benchmark is a stated query set: it goes out in blocks of
 bounded size, and each shard is searched block after block, so nothing broadcast grows
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, BYTE_VALUE_LOWER, chunks, prefix_hash, span_hash, text_buffer, words
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Limits of a block of the benchmark: bytes of text, and words so that a word's number fits 16 bits.
 BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 60_000
 _PER_KEY, _LEVELS = 4, 4  # words in a sort key, keys in an order: sixteen words
@@ -209,15 +209,14 @@ def judge(col: pa.Array, blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]
     buf, off, _ = text_buffer(col)
     n = len(off) - 1
     n_words, n_hit, items = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
-    prepared = []
     for i, j in chunks(off, SHARD_BYTES):
         b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e, of = words(b, o, ALNUM)
-        prepared.append((i, j, span_hash(prefix_hash(b, BYTE_VALUE_LOWER), s, e), of, np.zeros(len(s) + 1, np.int64)))
+        h = span_hash(prefix_hash(b, BYTE_VALUE_LOWER), s, e)
+        cover = np.zeros(len(s) + 1, np.int64)
         n_words[i:j] = np.bincount(of, minlength=j - i)
-    for block in blocks:
-        for i, j, h, of, cover in prepared:
-            if not len(h) or not len(block.windows):
+        for block in blocks if len(h) else ():
+            if not len(block.windows):
                 continue
             window, at = Shard(h, of, j - i, block).occurrences(block)
             if not len(at):
@@ -227,7 +226,6 @@ def judge(col: pa.Array, blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]
             pair = np.unique(np.stack([of[at], window]), axis=1)
             for d, u in pair.T.tolist():
                 items[i + d].extend(block.names[x] for x in block.owners[block.owner_at[u] : block.owner_at[u + 1]].tolist())
-    for i, j, _, of, cover in prepared:
         hit = np.cumsum(cover[:-1]) > 0
         n_hit[i:j] = np.bincount(of[hit], minlength=j - i)
     return n_words, n_hit, [sorted(set(x)) if x else x for x in items]

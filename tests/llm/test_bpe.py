@@ -20,7 +20,7 @@ def reference():
 
 def ids_of(texts):
     out = []
-    for ids, n in bpe.encode_texts(texts, bpe.read_vocabulary(FILE)):
+    for ids, n in bpe.encode_texts(texts, *bpe.encoder(bpe.read_vocabulary(FILE))):
         at = 0
         for k in n.tolist():
             out.append(ids[at : at + k].tolist())
