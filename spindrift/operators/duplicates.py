@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,8 @@ from pyspark.sql import types as T
 from spindrift.functions.text import comparable
 
 SIMILARITY, SHINGLE, SIGNATURE, WINDOW = 0.7, 3, 64, 50_000
+#: Signatures that a task compares with each other or with as many, and rows of that at once.
+BLOCK, _ROWS = 2048, 256
 
 
 def exact(text: str | Column, order: str) -> Column:
@@ -44,7 +48,7 @@ def _signature(size: int, k: int):
     a = rng.integers(1, 1 << 62, size, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 62, size, dtype=np.int64).astype(np.uint64)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def signature(texts: pd.Series) -> pd.Series:
         from xxhash import xxh64_intdigest
 
@@ -58,30 +62,84 @@ def _signature(size: int, k: int):
             for i in range(0, len(h), 4096):
                 with np.errstate(over="ignore"):
                     low = np.minimum(low, (h[i : i + 4096, None] * a + b).min(0))
-            return (low >> np.uint64(2)).astype(np.int64)
+            return (low >> np.uint64(2)).astype(np.int64).tobytes()
 
         return texts.map(one)
 
     return signature
 
 
+def _best(size: int, similarity: float, window: int | None):
+    """Over groups of a bucket's rows in key order: each row with the best of the earlier ones, ties to the earliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from spindrift.llm.common import groups
+
+        for t in groups(batches, ["bucket", "i", "j"]):
+            n = t.num_rows
+            if n < 2:
+                continue
+            block, key = t.column("block").to_numpy(), t.column("key").combine_chunks()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(n, size)
+            columns = np.stack([np.unique(c, return_inverse=True)[1] for c in sig.T]).astype(np.uint16)
+            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            at, of, most = [], [], []
+            for lo in range(0, n, _ROWS):
+                hi = min(lo + _ROWS, n)
+                same = np.zeros((hi - lo, hi), np.uint16)
+                for c in columns:
+                    same += c[lo:hi, None] == c[None, :hi]
+                ok = np.arange(hi)[None, :] < np.arange(lo, hi)[:, None]
+                if across:
+                    ok &= block[lo:hi, None] != block[None, :hi]
+                if window is not None:
+                    k = key.to_numpy(zero_copy_only=False)
+                    ok &= k[lo:hi, None] - k[None, :hi] <= window
+                same[~ok] = 0
+                best = same.argmax(1)
+                m = same[np.arange(hi - lo), best]
+                good = np.flatnonzero((m > 0) & (m / size >= similarity))
+                at.append(good + lo)
+                of.append(best[good])
+                most.append(m[good] / size)
+            at, of, most = np.concatenate(at), np.concatenate(of), np.concatenate(most)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(of)), key.take(pa.array(at)), pa.array(most)], names=["a", "b", "estimate"])
+
+    return run
+
+
 def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, k: int = SHINGLE, size: int = SIGNATURE, window: int | None = WINDOW) -> DataFrame:
     """(a, b, estimate): each row with its best earlier neighbour whose estimated similarity is enough.
 
-    Only rows next to each other in a band's bucket are compared (by key), so a bucket of
-    n rows gives n pairs, not n squared: a row of a chain has its nearest predecessor."""
+    All rows that share a band's bucket are compared; of equally good ones the earliest is
+    taken. Rows of one signature stand for each other, so copies cost nothing; a bucket of
+    more than BLOCK signatures is cut into blocks, each pair of blocks a group of its own.
+    With a window every row stands for itself."""
+    from spindrift.llm.common import Scratch, partitions
+
+    spark = df.sparkSession
+    scratch, parts = Scratch(spark, "near"), partitions(spark)
     bands, rows = bands_for(similarity, size)
     clean = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), comparable(F.col(text)).alias("t"))
     sig = clean.select("key", _signature(size, k)("t").alias("sig"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("sig", i * rows + 1, F.lit(rows))))
-    banded = sig.select("key", "sig", F.posexplode(cut).alias("band", "bucket"))
-    w = Window.partitionBy("band", "bucket").orderBy("key")
-    before = banded.withColumn("a", F.lag("key").over(w)).withColumn("other", F.lag("sig").over(w)).where("a is not null")
-    if window is not None:
-        before = before.where(F.col("key") - F.col("a") <= window)
-    same = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    scored = before.select("a", F.col("key").alias("b"), (same / size).alias("estimate")).where(F.col("estimate") >= similarity)
-    return scored.groupBy("b").agg(F.max_by(F.struct("a", "estimate"), F.struct("estimate", "a")).alias("m")).select("m.a", "b", "m.estimate")
+    every = scratch.save(sig.select("key", F.xxhash64("sig").alias("node"), "sig"))
+    copies, one = None, every.select("key", "sig")
+    if window is None:
+        first = scratch.save(every.groupBy("node").agg(F.min("key").alias("a"), F.first("sig").alias("sig")))
+        copies = every.select("key", "node").join(first.select("node", "a"), "node").where("a < key").select("a", F.col("key").alias("b"), F.lit(1.0).alias("estimate"))
+        one = first.select(F.col("a").alias("key"), "sig")
+    cut = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * rows * 8 + 1, rows * 8)) for i in range(bands)])
+    banded = one.select("key", F.explode(cut).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = banded.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wide = dealt.join(one, "key").select("bucket", "i", "j", "key", "block", "sig").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    kind = dict(one.dtypes)["key"]
+    scored = wide.mapInArrow(_best(size, similarity, window), f"a {kind}, b {kind}, estimate double")
+    best = scored.groupBy("b").agg(F.min_by(F.struct("a", "estimate"), F.struct(-F.col("estimate"), "a")).alias("m")).select("m.a", "b", "m.estimate")
+    return best if copies is None else best.union(copies)
 
 
 @F.pandas_udf(T.DoubleType())
