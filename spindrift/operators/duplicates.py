@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from spindrift.functions.text import comparable
 
-SIMILARITY, SHINGLE, SIGNATURE, WINDOW = 0.7, 3, 64, 50_000
+SIMILARITY, SHINGLE, SIGNATURE = 0.7, 3, 64
 #: Signatures that a task compares with each other or with as many, and rows of that at once.
 BLOCK, _ROWS = 2048, 256
 
@@ -109,13 +109,13 @@ def _best(size: int, similarity: float, window: int | None):
     return run
 
 
-def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, k: int = SHINGLE, size: int = SIGNATURE, window: int | None = WINDOW) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, k: int = SHINGLE, size: int = SIGNATURE, window: int | None = None) -> DataFrame:
     """(a, b, estimate): each row with its best earlier neighbour whose estimated similarity is enough.
 
     All rows that share a band's bucket are compared; of equally good ones the earliest is
     taken. Rows of one signature stand for each other, so copies cost nothing; a bucket of
     more than BLOCK signatures is cut into blocks, each pair of blocks a group of its own.
-    With a window every row stands for itself."""
+    A window, if given, is the largest difference of two keys; then every row stands for itself."""
     from spindrift.llm.common import Scratch, partitions
 
     spark = df.sparkSession

@@ -53,3 +53,10 @@ def test_near_pairs_verify_every_row_of_a_bucket(spark, monkeypatch, block):
     got = {r.b: (r.a, r.estimate) for r in duplicates.near_pairs(df, "doc_id", "text", window=None).collect()}
     assert got == brute_near(rows)
     assert len(got) > 40
+
+
+def test_near_pairs_of_distant_keys(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (90_000_000, text), (180_000_000, text + " end")], "doc_id long, text string")
+    assert {(r.a, r.b) for r in duplicates.near_pairs(df, "doc_id", "text").collect()} == {(1, 90_000_000), (1, 180_000_000)}
+    assert duplicates.near_pairs(df, "doc_id", "text", window=50_000).collect() == []
