@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.functions.text import comparable
+from spindrift.sources.scratch import Scratch, groups, partitions, trim
 
 SIMILARITY, SHINGLE, SIGNATURE = 0.7, 3, 64
 #: Signatures that a task compares with each other or with as many, and rows of that at once.
 BLOCK, _ROWS = 2048, 256
+#: Of two texts: lengths of matches looked for, matches held at once, and cells of a box left to difflib.
+_GRAMS, _MATCHES, _SMALL = (256, 32, 8, 2, 1), 250_000, 2500
 
 
 def exact(text: str | Column, order: str) -> Column:
@@ -52,6 +55,8 @@ def _signature(size: int, k: int):
     def signature(texts: pd.Series) -> pd.Series:
         from xxhash import xxh64_intdigest
 
+        trim()
+
         def one(t):
             if t is None:
                 return None
@@ -73,8 +78,6 @@ def _best(size: int, similarity: float, window: int | None):
     """Over groups of a bucket's rows in key order: each row with the best of the earlier ones, ties to the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from spindrift.llm.common import groups
-
         for t in groups(batches, ["bucket", "i", "j"]):
             n = t.num_rows
             if n < 2:
@@ -116,8 +119,6 @@ def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     taken. Rows of one signature stand for each other, so copies cost nothing; a bucket of
     more than BLOCK signatures is cut into blocks, each pair of blocks a group of its own.
     A window, if given, is the largest difference of two keys; then every row stands for itself."""
-    from spindrift.llm.common import Scratch, partitions
-
     spark = df.sparkSession
     scratch, parts = Scratch(spark, "near"), partitions(spark)
     bands, rows = bands_for(similarity, size)
@@ -142,12 +143,130 @@ def near_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARIT
     return best if copies is None else best.union(copies)
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two texts by matching blocks."""
+class _Texts:
+    """Two texts whose common substrings are found by ranks of their 2**p-grams, which are exact."""
+
+    def __init__(self, a: str, b: str):
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in (a, b))
+        self.n, self.m, self.behind = len(x), len(y), len(x) + 1
+        self.ranks = [np.unique(np.concatenate([x, [-1], y]), return_inverse=True)[1]]
+
+    def rank(self, p: int) -> np.ndarray:
+        while len(self.ranks) <= p:
+            r, k = self.ranks[-1], 1 << len(self.ranks) - 1
+            self.ranks.append(np.unique(r[:-k] * (len(r) + 1) + r[k:], return_inverse=True)[1] if len(r) > k else r[:0])
+        return self.ranks[p]
+
+    def grams(self, box: tuple[int, int, int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the k-grams (k of any size) inside both sides of a box."""
+        alo, ahi, blo, bhi = box
+        p = k.bit_length() - 1
+        r, more = self.rank(p), k - (1 << p)
+        at = [(alo, max(alo, ahi - k + 1)), (self.behind + blo, self.behind + max(blo, bhi - k + 1))]
+        x, y = (r[i:j] if not more else r[i:j] * (len(r) + 1) + r[i + more : j + more] for i, j in at)
+        return x, y
+
+    def runs(self, box: tuple[int, int, int, int], k: int) -> np.ndarray | None:
+        """(start in a, offset to b, length) of the maximal matches of k or more inside a box; None if there are too many to hold."""
+        x, y = self.grams(box, k)
+        order = np.argsort(y, kind="stable")
+        y = y[order]
+        lo, count = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        count -= lo
+        total = int(count.sum())
+        if total > _MATCHES:
+            return None
+        i = np.repeat(np.arange(len(x)), count)
+        j = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)] if total else i
+        n = len(x) + 1  # a place that no match has parts the diagonals
+        line = np.sort((j - i + len(x)) * n + i)
+        first = np.flatnonzero(np.diff(line, prepend=-2) != 1)
+        length = np.diff(np.append(first, len(line))) + k - 1
+        d, i = np.divmod(line[first], n)
+        return np.stack([i + box[0], d - len(x) + box[2] - box[0], length])
+
+    def longest(self, box: tuple[int, int, int, int]) -> tuple[int, int, int]:
+        """The longest match inside a box by halving, in memory of the texts' size; the earliest in a, then in b."""
+        good, bad = 0, min(box[1] - box[0], box[3] - box[2]) + 1
+        while bad - good > 1:
+            k = (good + bad) // 2
+            good, bad = (k, bad) if np.isin(*self.grams(box, k)).any() else (good, k)
+        if not good:
+            return box[0], box[2], 0
+        x, y = self.grams(box, good)
+        i = int(np.isin(x, y).argmax())
+        return box[0] + i, box[2] + int((y == x[i]).argmax()), good
+
+
+def likeness(a: str, b: str, least: float = 0.0) -> float:
+    """difflib's ratio (autojunk off), for texts of any length; -1 if it is below `least`.
+
+    The longest match of a box splits it in two, as in difflib, but matches of at least k
+    characters are found once for a box and cut to the boxes inside it, k falling when none is left."""
     import difflib
 
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+    if a == b:
+        return 1.0
+    total = len(a) + len(b)
+    t = _Texts(a, b)
+    kinds = int(t.ranks[0].max()) + 1
+    x, y = t.grams((0, t.n, 0, t.m), 1)
+    if 2.0 * int(np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)).sum()) / total < least:
+        return -1.0
+    matched, open_ = 0, min(t.n, t.m)
+    boxes = [((0, t.n, 0, t.m), 0 if open_ > 20_000 else 1, None)]
+    while boxes:
+        if 2.0 * (matched + open_) / total < least:
+            return -1.0
+        box, level, runs = boxes.pop()
+        alo, ahi, blo, bhi = box
+        n, m = ahi - alo, bhi - blo
+        if n * m <= _SMALL:
+            open_ -= min(n, m)
+            if n and m:
+                matched += sum(z.size for z in difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks())
+            continue
+        k = _GRAMS[level]
+        if runs is None:
+            runs = t.runs(box, k)
+        if runs is None:
+            i, j, size = t.longest(box)
+        else:
+            i0, d, length = runs
+            s = np.maximum(np.maximum(i0, alo), blo - d)
+            size_of = np.minimum(np.minimum(i0 + length, ahi), bhi - d) - s
+            keep = size_of >= k
+            runs = np.stack([s[keep], d[keep], size_of[keep]])
+            if not runs.shape[1]:
+                if level + 1 < len(_GRAMS):
+                    boxes.append((box, level + 1, None))
+                else:
+                    open_ -= min(n, m)
+                continue
+            size = int(runs[2].max())
+            s, d, _ = runs[:, runs[2] == size]
+            i = int(s.min())
+            j = i + int(d[s == i].min())
+        open_ -= min(n, m)
+        matched += size
+        for part in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)):
+            if (least_side := min(part[1] - part[0], part[3] - part[2])) > 0:
+                open_ += least_side
+                boxes.append((part, level, runs))
+    return 2.0 * matched / total if 2.0 * matched / total >= least else -1.0
+
+
+def _alike(threshold: float):
+    """Rows (a, b, estimate, ta, tb) whose texts are alike enough; two texts at once are held as strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trim()
+            r = np.array([likeness(x.as_py() or "", y.as_py() or "", threshold) for x, y in zip(batch.column(3), batch.column(4))], np.float64)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(r)], names=["a", "b", "estimate", "ratio"])
+            yield out.filter(pa.array(r >= threshold))
+
+    return run
 
 
 def fuzzy_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.9, **near: Any) -> DataFrame:
@@ -155,7 +274,8 @@ def fuzzy_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.9, **ne
     pairs = near_pairs(df, key, text, **near)
     t = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     both = pairs.join(t.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-    return both.withColumn("ratio", ratio("ta", "tb")).where(F.col("ratio") >= threshold).select("a", "b", "estimate", "ratio")
+    kind = dict(pairs.dtypes)["a"]
+    return both.select("a", "b", "estimate", "ta", "tb").mapInArrow(_alike(threshold), f"a {kind}, b {kind}, estimate double, ratio double")
 
 
 def report(df: DataFrame, key: str, text: str, methods: tuple[str, ...] = ("exact", "normalized", "minhash"), similarity: float = SIMILARITY, most: float | None = None, chaos: str | None = None) -> DataFrame:

@@ -490,7 +490,7 @@ def dup_minhash(spark, d):
 
 @query()
 def dup_fuzzy(spark, d):
-    return duplicates.fuzzy_pairs(table(spark, d, "benchmark").unionByName(table(spark, d, "benchmark").withColumn("item_id", F.col("item_id") + 10_000)), "item_id", "text", 0.9)
+    return duplicates.fuzzy_pairs(table(spark, d, "documents"), "doc_id", "text", 0.9)
 
 
 @query()
