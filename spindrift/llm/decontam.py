@@ -28,9 +28,9 @@ from .common import ALNUM, BYTE_VALUE_LOWER, chunks, prefix_hash, span_hash, tex
 
 WINDOW = 13
 SHARD_BYTES = 2 << 20
-#: Limits of a block of the benchmark: bytes of text, and words so that a word's number fits 16 bits.
+#: Limits of a block of the benchmark: bytes of text, and words so that a word's number fits 16 bits; an item of more is a block of its own, with wider slots if need be.
 BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 60_000
-_PER_KEY, _LEVELS = 4, 4  # words in a sort key, keys in an order: sixteen words
+_WORDS = 16  # words in an order, by sort keys of 64 bits
 _PAIR_BITS = 22
 
 
@@ -46,6 +46,7 @@ class Block:
     owners: np.ndarray  # items of window u: owners[owner_at[u]:owner_at[u + 1]]
     owner_at: np.ndarray
     pairs: np.ndarray | None  # which hashed word pairs occur; None if a window has one word
+    bits: int  # of a word's number in a sort key
 
     @classmethod
     def build(cls, names: list[str], texts: list[str | None], window: int) -> Block:
@@ -58,7 +59,8 @@ class Block:
         left = (np.cumsum(count) - 0)[of] - np.arange(len(of))
         wide = np.minimum(count, window)[of]
         at = np.flatnonzero(left >= wide)
-        keys = key_levels(ids, left, at, np.minimum(wide, left)[at])
+        bits = 16 if len(vocabulary) < 1 << 16 else 32
+        keys = key_levels(ids, left, at, np.minimum(wide, left)[at], bits)
         order = np.lexsort((wide[at], *keys[::-1]))
         rows = np.stack([*(k[order] for k in keys), wide[at][order].astype(np.uint64)])
         new = np.ones(len(order), bool)
@@ -75,7 +77,7 @@ class Block:
             pairs = np.zeros(1 << _PAIR_BITS, bool)
             two = np.flatnonzero(left > 1)
             pairs[pair_no(ids[two], ids[two + 1])] = True
-        return cls(vocabulary, ids, left, own_name[of], list(name_no), at[order[new]], width, owner[1], starts, pairs)
+        return cls(vocabulary, ids, left, own_name[of], list(name_no), at[order[new]], width, owner[1], starts, pairs, bits)
 
 
 def pair_no(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,15 +85,14 @@ def pair_no(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a.astype(np.uint64) * np.uint64(65_537) + b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
 
 
-def key_levels(ids: np.ndarray, left: np.ndarray, at: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
-    """For the suffixes at `at`, cut to `most` words, sixteen words as four sort keys; 0 stands past the end."""
+def key_levels(ids: np.ndarray, left: np.ndarray, at: np.ndarray, most: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For the suffixes at `at`, cut to `most` words, sixteen words of so many bits as sort keys; 0 stands past the end."""
     out = []
-    for level in range(_LEVELS):
+    for level in range(0, _WORDS, 64 // bits):
         key = np.zeros(len(at), np.uint64)
-        for j in range(_PER_KEY):
-            k = level * _PER_KEY + j
+        for k in range(level, level + 64 // bits):
             word = np.where(k < most, ids[np.minimum(at + k, len(ids) - 1)] if len(ids) else 0, 0)
-            key = (key << np.uint64(16)) | word.astype(np.uint64)
+            key = (key << np.uint64(bits)) | word.astype(np.uint64)
         out.append(key)
     return out
 
@@ -117,7 +118,7 @@ class Shard:
             can = np.zeros(len(can), bool)
             can[i[block.pairs[pair_no(self.ids[i], self.ids[i + 1])]]] = True
         at = np.flatnonzero(can)
-        keys = key_levels(self.ids, self.left, at, self.left[at])
+        keys = key_levels(self.ids, self.left, at, self.left[at], block.bits)
         order = np.lexsort(keys[::-1])
         self.suffixes = at[order]
         self.keys = [k[order] for k in keys]
@@ -135,12 +136,12 @@ class Shard:
     def find(self, block: Block, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of suffixes that begin with the first `width` (sixteen at most) words at `at`."""
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes), np.int64)
-        want = key_levels(block.ids, block.left, at, width)
+        want, each = key_levels(block.ids, block.left, at, width, block.bits), 64 // block.bits
         for level, keys in enumerate(self.keys):
-            here = np.clip(width - level * _PER_KEY, 0, _PER_KEY)
+            here = np.clip(width - level * each, 0, each)
             if not (here > 0).any() or not len(keys):
                 break
-            shift = (16 * (_PER_KEY - here)).astype(np.uint64)
+            shift = (block.bits * (each - here)).astype(np.uint64)
             all_of = here == 0
             shift[all_of] = 0
             w = want[level] >> shift
@@ -160,14 +161,14 @@ class Shard:
         """(word of the benchmark, word of the shard, words) of the longest verbatim match of each benchmark suffix, not inside a longer one's."""
         at = np.arange(len(block.ids))
         best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for k in range(1, _LEVELS * _PER_KEY + 1):
+        for k in range(1, _WORDS + 1):
             live = np.flatnonzero((best == k - 1) & (block.left >= k))
             if not len(live):
                 break
             lo, hi = self.find(block, live, np.full(len(live), k))
             got = live[hi > lo]
             best[got], where[got] = k, self.suffixes[lo[hi > lo]]
-            if k == _LEVELS * _PER_KEY:
+            if k == _WORDS:
                 for i, a, b in zip(got.tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                     for p in self.suffixes[a:b].tolist():
                         n = k
@@ -187,7 +188,8 @@ class _Blocks:
         texts: list[str | None] = []
         size = n = 0
         for r in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).toLocalIterator(prefetchPartitions=False):
-            more, w = len((r.t or "").encode()), len((r.t or "").split()) + (r.t or "").count("-") + 1
+            buf, off, _ = text_buffer(pa.array([r.t], pa.string()))
+            more, w = len(buf), len(words(buf, off, ALNUM)[0])
             if names and (size + more > BLOCK_BYTES or n + w > BLOCK_WORDS):
                 self.parts.append(spark.sparkContext.broadcast(Block.build(names, texts, window)))
                 names, texts, size, n = [], [], 0, 0

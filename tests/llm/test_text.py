@@ -55,6 +55,18 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
 
 
+def test_decontamination_with_more_words_than_sixteen_bits(spark):
+    """One item, or items of one block by spaces, with more than 65,535 different words."""
+    lists = [[f"n{(i * 7919) % 90_001}" for i in range(80_000)], [f"a{i}" for i in range(40_000)], [f"b{i}" for i in range(40_000)]]
+    items = [(1, ",".join(lists[0])), (2, ".".join(lists[1])), (3, "/".join(lists[2]))]
+    docs = []
+    for k, w in enumerate(lists):
+        docs += [" ".join(["x", *w[at : at + 13 + at % 5], *w[at + 500 : at + 510]]) for at in range(k, len(w) - 600, 401)]
+    got = decontam.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert got == brute_decontam(enumerate(docs), items)
+
+
 def test_decontamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = data.documents(spark)
