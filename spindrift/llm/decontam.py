@@ -2,7 +2,7 @@
 
 Each task lays the words of about two megabytes of documents out as numbers, sorts the
 suffixes that can match (a word suffix array of the shard) and binary-searches every
-benchmark suffix in it. The benchmark is a stated query set: it goes out in blocks of
+different benchmark window in it; `matches` searches every benchmark suffix. The benchmark is a stated query set: it goes out in blocks of
 bounded size, and each shard is searched block after block, so nothing broadcast grows
 with either table and no document is shuffled.
 
@@ -158,25 +158,33 @@ class Shard:
         return of, self.suffixes[place]
 
     def longest(self, block: Block, least: int) -> list[tuple[int, int, int]]:
-        """(word of the benchmark, word of the shard, words) of the longest verbatim match of each benchmark suffix, not inside a longer one's."""
+        """(word of the benchmark, word of the shard, words) of the longest verbatim matches of each benchmark suffix, at all their places, not inside a longer one's."""
         at = np.arange(len(block.ids))
-        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        best, lo, hi = (np.zeros(len(at), np.int64) for _ in range(3))
         for k in range(1, _WORDS + 1):
             live = np.flatnonzero((best == k - 1) & (block.left >= k))
             if not len(live):
                 break
-            lo, hi = self.find(block, live, np.full(len(live), k))
-            got = live[hi > lo]
-            best[got], where[got] = k, self.suffixes[lo[hi > lo]]
-            if k == _WORDS:
-                for i, a, b in zip(got.tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    for p in self.suffixes[a:b].tolist():
-                        n = k
-                        while n < block.left[i] and n < self.left[p] and block.ids[i + n] == self.ids[p + n]:
-                            n += 1
-                        if n > best[i]:
-                            best[i], where[i] = n, p
-        return [(i, int(where[i]), int(best[i])) for i in range(len(at)) if best[i] >= least and not (i and block.left[i - 1] > 1 and best[i - 1] > best[i])]
+            a, b = self.find(block, live, np.full(len(live), k))
+            got = live[b > a]
+            best[got], lo[got], hi[got] = k, a[b > a], b[b > a]
+        where = {}
+        for i in np.flatnonzero(best > 0).tolist():
+            where[i] = self.suffixes[lo[i] : hi[i]].tolist()
+            if best[i] == _WORDS:
+                length = []
+                for p in where[i]:
+                    n = _WORDS
+                    while n < block.left[i] and n < self.left[p] and block.ids[i + n] == self.ids[p + n]:
+                        n += 1
+                    length.append(n)
+                best[i] = max(length)
+                where[i] = [p for p, n in zip(where[i], length, strict=True) if n == best[i]]
+
+        def longer(i: int, p: int) -> bool:
+            return i > 0 and p > 0 and block.left[i - 1] > 1 and self.left[p - 1] > 1 and block.ids[i - 1] == self.ids[p - 1]
+
+        return [(i, p, int(best[i])) for i, places in where.items() if best[i] >= least for p in sorted(places) if not longer(i, p)]
 
 
 class _Blocks:

@@ -81,6 +81,13 @@ def test_longest_matches(spark):
     assert [tuple(r) for r in decontam.matches(docs, bench).collect()] == [(1, "9", 2, 1, 40)]
 
 
+def test_longest_matches_at_all_places(spark):
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 40), ("v", 14)))
+    docs = spark.createDataFrame([(1, f"x {long} y {long} z {short} u {short} t"), (2, f"c {short} d {short}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(8, "c " + short), (9, "a " + long + " b")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontam.matches(docs, bench).collect()) == [(1, "8", 83, 1, 14), (1, "8", 98, 1, 14), (1, "9", 1, 1, 40), (1, "9", 42, 1, 40), (2, "8", 0, 0, 15), (2, "8", 16, 1, 14)]
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
