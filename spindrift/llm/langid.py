@@ -5,7 +5,8 @@ A text's subwords are the 2- to 4-grams of its lower-cased bytes, with every run
 other than letters as one space. Their embeddings are averaged and go through a linear
 softmax. As that is linear, a trained model is a table of class scores by bucket and a
 prediction one gather and one sum by document: no document moves. Training takes a
-bounded sample (ROWS_PER_LANGUAGE rows of each language, chosen by a hash of the key);
+bounded sample (ROWS_PER_LANGUAGE rows of each language, fewer if there are more than
+FULL_LANGUAGES, chosen by a hash of the key; no language is left out);
 a fifth of it sets the temperature and the rejection threshold.
 
 Defined results: null text, and text without a letter, is `und` with score 0; an empty
@@ -27,7 +28,8 @@ from .common import chunks, text_buffer
 
 #: The bound of the training sample.
 ROWS_PER_LANGUAGE = 700
-MOST_LANGUAGES = 400
+#: Up to so many languages have all those rows; with more of them each has fewer, but no less than LEAST_ROWS.
+FULL_LANGUAGES, LEAST_ROWS = 400, 50
 BUCKET_BITS, DIM, EPOCHS, RATE, SEED = 15, 16, 8, 0.5, 7
 GRAMS = (2, 3, 4)
 #: The share of wrong answers among those not rejected that calibration allows.
@@ -181,8 +183,15 @@ def sample(rows: DataFrame, by: Column, most: int, counts: dict, label: str = "y
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Fits on a bounded sample of the rows where `learn` holds and the label is known."""
     rows = docs.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("x"), F.col(label).alias("y"))
-    counts = {r.y: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()}
-    got = sample(rows, F.xxhash64("k", F.lit("langid")), rows_per_language, counts).collect()
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    most = rows_per_language if len(counts) <= FULL_LANGUAGES else max(LEAST_ROWS, rows_per_language * FULL_LANGUAGES // len(counts))
+    by = F.xxhash64("k", F.lit("langid"))
+    if len(counts) <= FULL_LANGUAGES:
+        got = sample(rows, by, most, counts).collect()
+    else:  # too many for one expression
+        share = rows.sparkSession.createDataFrame([(y, min(1.0, most / n)) for y, n in counts.items()], "y string, share double")
+        u = F.shiftrightunsigned(by, 11) * F.lit(2.0**-53)
+        got = rows.join(F.broadcast(share), "y").where(u < F.col("share")).select("k", "x", "y").collect()
     got.sort(key=lambda r: (r.y, r.k, r.x))
     return fit([r.x for r in got], [r.y for r in got])
 

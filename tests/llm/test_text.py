@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import ctw, decontam, langid, quality, secrets
 from spindrift.llm.common import held_out
@@ -185,6 +186,12 @@ def labelled(spark):
     return docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
 
 
+def test_language_id_learns_every_language(spark):
+    rows = [(3 * i + j, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} {chr(97 + i // 26) * 2}", f"l{i:03}") for i in range(403) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+
+
 def test_language(spark):
     docs, _ = labelled(spark)
     model = langid.train(docs, ~held_out(4, 2))
