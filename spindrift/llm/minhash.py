@@ -1,11 +1,11 @@
-"""Near-duplicates by an LSH forest of MinHash signatures.
+"""Near-duplicates by sorted orders of MinHash signatures, cut at one depth.
 
 1. Each text becomes its set of word shingles, a 64-bit name of that set and a signature:
    TREES trees of LEVELS values. Texts of one set are one node from here on.
 2. Each tree is an order of all nodes by its values. Rows are dealt by range of the
    order, ties by node, so a group of any size is spread. Neighbours in an order whose
-   longest common prefix has at least `depth` values are candidates; runs of such
-   neighbours in any tree make families, as deep or shallow as their region is.
+   first `depth` values are equal are candidates; runs of such neighbours in any tree
+   make families. The depth is one for the table, not one for each region of a forest.
 3. A family's full sets are compared exactly, by products of their incidence matrices; a
    forest of the links leaves the task, never the pairs. A family of more than BLOCK sets
    or BLOCK_BYTES is cut into blocks, each pair of blocks a group of its own, so no pair
