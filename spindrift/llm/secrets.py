@@ -6,7 +6,8 @@ scans only pairs it has not seen and joins the findings back to every path.
 
 Defined results: null text is the empty blob and has no spans; repeated rows and equal
 texts share one blob and each row gets its findings; a null key is a key like another;
-an empty table gives an empty result; extra columns are never touched (keep_columns).
+an empty table gives an empty result; extra columns are never touched (keep_columns);
+a text of n spans costs about n * sqrt(n) steps, at any length that a string can have.
 """
 
 from __future__ import annotations
@@ -52,11 +53,23 @@ RULES = BASE_RULES + ADDED_RULES
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in runs of about the square root of its size, so that folds which append cost
+    n * sqrt(n) in the size and not its square. A run has an even number of items."""
+    size = F.size(items)
+    step = F.greatest(F.lit(2), (F.ceil(F.sqrt(size) / 2) * 2).cast("int"))
+    return _let(step, lambda n: F.transform(F.sequence(F.lit(0), F.ceil(size / n).cast("int") - 1), lambda b: F.slice(items, b * n + 1, n)))
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in code points, end exclusive: matches are put between marks and
     the text is split there, so odd pieces are matches and lengths add up to offsets."""
-    pieces = F.split(F.regexp_replace(text, rule.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit(None).cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
@@ -64,11 +77,19 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         if rule.least > 1:
             long = F.length(F.regexp_extract(piece, f"^{rule.pattern}$", rule.group)) >= rule.least
         span = F.array(F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        kept = F.coalesce(acc["out"], F.array().cast(_SPAN))
-        out = F.when(acc["hit"] & long, F.concat(kept, span)).otherwise(kept)
+        out = F.when(acc["hit"] & long, F.concat(acc["out"], span)).otherwise(acc["out"])
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), out.alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: F.coalesce(acc["out"], F.array().cast(_SPAN)))
+    def of_block(x: Column) -> Column:
+        return F.aggregate(x["pieces"], F.struct(x["at"].alias("at"), F.lit(False).alias("hit"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        length = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x)))
+        placed = _let(length, lambda n: F.transform(blocks, lambda b, i: F.struct(F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x).alias("at"), b.alias("pieces"))))
+        return F.flatten(F.transform(placed, of_block))
+
+    pieces = F.split(F.regexp_replace(text, rule.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    return _let(pieces, lambda p: F.when(F.size(p) < 2, none).otherwise(_let(_blocks(p), of_blocks)))
 
 
 class Ledger:
@@ -166,11 +187,22 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | No
         merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["end"]).alias("e"))))
         return F.when((F.size(acc) > 0) & (x["start"] <= last["e"]), merged).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e")))))
 
-    runs = F.aggregate(name, F.array().cast(pair), union)
+    def append(acc: Column, more: Column) -> Column:
+        """Runs of the next block after those of the blocks before; both are apart, in order."""
+        last = F.try_element_at(acc, F.lit(-1))
+        inside = F.filter(more, lambda x: x["s"] <= last["e"])
+        tail = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], F.array_max(F.transform(inside, lambda x: x["e"]))).alias("e")))
+        return F.when(F.size(acc) == 0, more).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), tail, F.filter(more, lambda x: x["s"] > last["e"])))
+
+    none = F.array().cast(pair)
+    runs = F.when(F.size(name) > 0, F.aggregate(F.transform(_blocks(F.col(name)), lambda b: F.aggregate(b, none, union)), none, append)).otherwise(none)
     rows = rows.withColumn(f"{name}_runs", runs)
     r = F.col(f"{name}_runs")
     starts = F.concat(F.transform(r, lambda x: x["s"]), F.array(F.length(text)))
     ends = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["e"]))
     gaps = F.arrays_zip(ends.alias("a"), starts.alias("b"))
-    kept = F.array_join(F.transform(gaps, lambda g: F.substring(F.col(text), g["a"] + 1, g["b"] - g["a"])), instead)
+    # offsets are counted from the front of a string, so gaps are cut from the piece of their block
+    cut = lambda b: F.struct(b[0]["a"].alias("from"), b.alias("gaps"), F.substring(F.col(text), b[0]["a"] + 1, F.element_at(b, -1)["b"] - b[0]["a"]).alias("part"))
+    parts = F.transform(_blocks(gaps), cut)
+    kept = F.array_join(F.flatten(F.transform(parts, lambda p: F.transform(p["gaps"], lambda g: F.substring(p["part"], g["a"] - p["from"] + 1, g["b"] - g["a"])))), instead)
     return rows.withColumn(text, F.when(F.col(name).isNotNull() & F.col(text).isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)

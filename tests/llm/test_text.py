@@ -226,3 +226,13 @@ def test_prior_from_scores_alone():
     pos = rng.normal(3, 1, (3000, 2))
     unl = np.concatenate([rng.normal(3, 1, (2100, 2)), rng.normal(-3, 1, (900, 2))])
     assert abs(quality.fit(pos, unl, None).prior - 0.7) < 0.08
+
+
+def test_secrets_in_a_text_of_very_many(spark):
+    """Spans are found in far less than quadratic time, alike in order and place."""
+    t = "token=abcdefgh1 - " * 30_000 + "f" * 40 + " password: x " * 5
+    got = secrets.digest(secrets.scan(spark.createDataFrame([(1, t), (1, t), (None, t[:400])], "doc_id long, text string"))).collect()
+    want = [",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_secrets(x)) for x in (t[:400], t, t)]
+    assert [r.spans for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0))] == want
+    clean = secrets.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().text
+    assert clean == "[REDACTED] - " * 30_000 + "[REDACTED]" + " password: x " * 5
