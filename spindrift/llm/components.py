@@ -73,9 +73,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """(node, root): every node of the edges with the least node of its component.
 
-    Minima are combined before each shuffle and joined back, so a hub is a skewed join
-    that Spark can split, not a group in one task. Each round is written to the shared
-    folder. Loops of one node are dropped; nulls must not occur."""
+    Minima are combined before each shuffle and joined back, so a hub is a skewed join, which
+    Spark splits from its own threshold of bytes on, and not a group in one task. Each
+    round is written to the shared folder; rounds grow with the logarithm of the longest
+    path, and more than `most` raise. Loops of one node are dropped; nulls must not occur."""
     now = scratch.save(contract(edges.where("a <> b")))
     mark = None
     for _ in range(most):
@@ -87,5 +88,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         nxt = scratch.save(_small_star(_large_star(now)))
         scratch.drop(now)
         now = nxt
+    else:
+        raise RuntimeError(f"components not found in {most} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -1,19 +1,22 @@
-"""Near-duplicates by sorted orders of MinHash signatures, cut at one depth.
+"""Near-duplicates by an LSH forest: sorted orders of MinHash signatures, with a depth for each region.
 
 1. Each text becomes its set of word shingles, a 64-bit name of that set and a signature:
    TREES trees of LEVELS values. Texts of one set are one node from here on.
 2. Each tree is an order of all nodes by its values. Rows are dealt by range of the
-   order, ties by node, so a group of any size is spread. Neighbours in an order whose
-   first `depth` values are equal are candidates; runs of such neighbours in any tree
-   make families. The depth is one for the table, not one for each region of a forest.
+   order, ties by node, so a group of any size is spread. Nodes in a row that share
+   `depth` values are a region. Two neighbouring regions that are sparse go up to the
+   depth of their longest common prefix, not above SHALLOWER levels up, and are one.
+   Regions of all trees that meet in a node make families.
 3. A family's full sets are compared exactly, by products of their incidence matrices; a
    forest of the links leaves the task, never the pairs. A family of more than BLOCK sets
-   or BLOCK_BYTES is cut into blocks, each pair of blocks a group of its own, so no pair
-   of a family is left out.
+   is cut into its different regions if they hold fewer pairs than it, so families that
+   boilerplate chains together don't grow with the corpus. What is above BLOCK sets or
+   BLOCK_BYTES is cut into blocks, each pair of blocks a group of its own, so no pair is
+   left out.
 4. Links give components.
 
-`depth` follows from the similarity: a pair just at the threshold is in one family with a
-probability of at least RECALL.
+`depth` follows from the similarity: a pair just at the threshold is in one region of some
+tree with a probability of at least RECALL. It is the deepest that a region may be.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing;
 fewer words than a shingle has are one shingle; equal sets are linked; rows are documents,
@@ -36,6 +39,8 @@ from .components import components, forest
 
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 TREES, LEVELS, RECALL = 32, 8, 0.9999
+#: A region of at most SPARSE nodes joins its nearest neighbour, if they share all but so many of the depth's values.
+SPARSE, SHALLOWER = 4, 2
 #: Sets, and bytes of them, that a task compares with each other or with as many.
 BLOCK, BLOCK_BYTES = 2048, 24 << 20
 #: Columns of an incidence matrix at once.
@@ -145,41 +150,107 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tree", "k1", "k2", "node"])
 
 
-def _neighbours(depth: int):
-    """Over a sorted run of the orders: neighbours (a, b, -) that share `depth` values, and one node (a, -, region) of the run's first and last regions, which may go on elsewhere."""
+def common(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix, in values, of each row and the next."""
+    out = np.zeros(max(len(k1) - 1, 0), np.int64)
+    open_ = np.ones(len(out), bool)
+    for k in (k1, k2):
+        x = k[1:].view(np.uint64) ^ k[:-1].view(np.uint64)
+        for level in range(4):
+            open_ &= (x >> np.uint64(48 - 16 * level)) == 0
+            out += open_
+    return out
+
+
+def region_of(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, depth: int) -> np.ndarray:
+    """A 64-bit name of the first `depth` values of a tree."""
     drop1, drop2 = np.uint64(16 * max(0, 4 - depth)), np.uint64(16 * (8 - max(depth, 4)))
+    p1 = (k1.view(np.uint64) >> drop1) << drop1
+    p2 = (k2.view(np.uint64) >> drop2) << drop2 if depth > 4 else np.zeros(len(k2), np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(mix(p1 + tree.astype(np.uint64) * _PLACE[62]) + p2).view(np.int64)
+
+
+def joined(lcp: np.ndarray, depth: int) -> np.ndarray:
+    """Which rows of an order are one region with the next, from the common prefixes of neighbours.
+
+    Where `depth` values are shared, always. Where two regions meet in fewer, if both are
+    sparse and neither shares more with the region on its other side."""
+    deep = lcp >= depth
+    gap = np.flatnonzero(~deep)
+    if not len(gap):
+        return deep
+    shared = lcp[gap]
+    size = np.diff(np.concatenate([[0], gap + 1, [len(lcp) + 1]]))
+    around = np.concatenate([[-1], shared, [-1]])
+    nearest = (shared > around[:-2]) & (shared >= around[2:])
+    deep[gap[nearest & (shared >= max(1, depth - SHALLOWER)) & (np.maximum(size[:-1], size[1:]) <= SPARSE)]] = True
+    return deep
+
+
+def _neighbours(depth: int):
+    """Over a sorted run of the orders: nodes (a, b, -) that are in one region, and one node (a, -, region) of the run's first and last regions, which may go on elsewhere."""
 
     def rows(a, b, region):
         n, m = len(b), len(region)
         cols = [pa.array(a), pa.array(np.concatenate([b, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([np.zeros(n, np.int64), region]), mask=np.arange(n + m) < n)]
         return pa.RecordBatch.from_arrays(cols, names=["a", "b", "region"])
 
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, k1, k2, node = (batch.column(c).to_numpy() for c in range(4))
-            p1 = (k1.view(np.uint64) >> drop1) << drop1
-            p2 = (k2.view(np.uint64) >> drop2) << drop2 if depth > 4 else np.zeros(len(k2), np.uint64)
-            with np.errstate(over="ignore"):
-                region = mix(mix(p1 + tree.astype(np.uint64) * _PLACE[62]) + p2).view(np.int64)
-            none = np.zeros(0, np.int64)
+            t = [batch.column(c).to_numpy() for c in range(4)]
             if last is None:
-                yield rows(node[:1], none, region[:1])
+                yield rows(t[3][:1], none, region_of(*(c[:1] for c in t[:3]), depth))
             else:
-                region, node = np.concatenate([last[0], region]), np.concatenate([last[1], node])
-            i = np.flatnonzero((region[1:] == region[:-1]) & (node[1:] != node[:-1]))
+                t = [np.concatenate([x, y]) for x, y in zip(last, t, strict=True)]
+            tree, k1, k2, node = t
+            lcp = np.where(tree[1:] == tree[:-1], common(k1, k2), 0)
+            i = np.flatnonzero(joined(lcp, depth) & (node[1:] != node[:-1]))
             if len(i):
                 child, root = forest(node[i], node[i + 1])
                 yield rows(child, root, none)
-            last = region[-1:], node[-1:]
+            last = [c[-1:] for c in t]
         if last is not None:
-            yield rows(last[1], np.zeros(0, np.int64), last[0])
+            yield rows(last[3], none, region_of(*last[:3], depth))
+
+    return run
+
+
+def _regions(depth: int):
+    """(node, family, region) of each node and tree, from (node, sig, family)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                for t in _orders(iter([part])):
+                    tree, k1, k2, node = (t.column(c).to_numpy() for c in range(4))
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(part.column(2).to_numpy(), TREES)), pa.array(region_of(tree, k1, k2, depth))], names=["node", "family", "region"])
 
     return run
 
 
+def grouped(sets: DataFrame, one: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """(node, family) with families of more than BLOCK sets cut into their different regions where those hold fewer pairs."""
+    whole = sets.select("node", "family")
+    large = scratch.save(whole.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
+    if large.isEmpty():
+        return whole
+    held = one.select("node", "sig").join(whole.join(large.select("family"), "family"), "node").select("node", "sig", "family")
+    rows = scratch.save(held.mapInArrow(_regions(depth), "node long, family long, region long"))
+    each = rows.groupBy("family", "region").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of")).where("n > 1")
+    different = scratch.save(each.groupBy("family", "n", "of").agg(F.min("region").alias("region")))
+    pairs = different.groupBy("family").agg(F.sum(F.col("n").cast("double") ** 2).alias("pairs"))
+    cut = scratch.save(large.join(pairs, "family").where(F.col("pairs") < F.col("size").cast("double") ** 2).select("family"))
+    parts = rows.join(different.join(cut, "family", "left_semi").select("region"), "region").select("node", F.col("region").alias("family"))
+    return whole.join(cut, "family", "left_anti").select("node", "family").union(parts)
+
+
 def overlaps(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """n x n sizes of the intersections of sets, given as elements and the set each is of."""
     kinds, at = np.unique(x, return_inverse=True)
@@ -258,8 +329,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("t"))
     full = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select("node", "family", "t")
     sets = scratch.save(full.mapInArrow(_full_sets(k), "node long, family long, s binary").dropDuplicates(["node"]))
-    stats = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = sets.select("node", "family").join(stats, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    member = grouped(sets, one, depth, scratch)
+    sized = member.join(sets.select("node", F.octet_length("s").alias("bytes")), "node")
+    stats = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = member.join(stats, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     wide = sets.select("node", "s").join(dealt, "node").repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")

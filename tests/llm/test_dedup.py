@@ -60,6 +60,34 @@ def test_minhash_large_region_in_tiny_batches(spark):
     assert got == brute_minhash(rows, 3, 85, 100)
 
 
+def test_minhash_large_families(spark, monkeypatch):
+    """Near copies and texts that share boilerplate, in blocks and cut into regions."""
+    monkeypatch.setattr(minhash, "BLOCK", 12)
+    rng = random.Random(8)
+    common = data.prose(rng, 60)
+    rows = []
+    for _ in range(25):
+        w = (common + " " + data.prose(rng, 40)).split()
+        for _ in range(6):
+            v = list(w)
+            for _ in range(rng.randint(0, 6)):
+                v[rng.randrange(len(v))] = f"q{rng.randrange(999)}"
+            rows.append((len(rows), " ".join(v)))
+    used = []
+    real = minhash._regions
+    monkeypatch.setattr(minhash, "_regions", lambda depth: used.append(depth) or real(depth))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string"), k=3, similarity=(85, 100)).collect()}
+    assert got == brute_minhash(rows, 3, 85, 100) and used
+
+
+def test_depth_of_regions():
+    """Regions never go deeper than the depth; sparse neighbours meet at their longest common prefix."""
+    lcp = np.array([8, 7, 6, 2, 5, 5, 1, 7, 7, 7, 7, 6])
+    assert minhash.joined(lcp, 7).tolist() == [True, True, True, False, True, False, False, True, True, True, True, False]
+    k1 = np.array([0x0001000200030004, 0x0001000200030005, 0x0001000200030005], np.int64)
+    assert minhash.common(k1, np.array([1, 1, 1 << 40], np.int64)).tolist() == [3, 5]
+
+
 def test_minhash_repeated_rows_and_empty(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None), (2, None), (3, "z")]
     got = sorted(((r.doc_id is None, r.doc_id or 0), r.component_id) for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string"), k=3).collect())
