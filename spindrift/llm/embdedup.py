@@ -7,13 +7,17 @@
 3. Bands of the code's bits deal nodes into buckets. Bits and number of bands follow from
    the number of nodes and the threshold, so that a bucket holds about BUCKET nodes and a
    pair at the threshold shares one with probability RECALL.
-4. In a bucket, pairs whose upper bound is below the threshold are done with; the others
-   are recomputed exactly in double precision, in the first band that the pair shares.
-   Sums and a forest of links leave a task, never the pairs. Buckets of more than
-   BLOCK nodes are cut into blocks, each pair of blocks a group of its own.
+4. Only codes and factors are dealt into buckets. There the share of different bits of each
+   pair is held against that of a pair at the threshold (its arcsine law), and a node none
+   of whose pairs is within SIGMAS is done with. Vectors are fetched for the others: their
+   unbiased estimates and bounds decide which pairs are recomputed exactly in double
+   precision, in the first band that the pair shares. Sums and a forest of links leave a
+   task, never the pairs. Buckets of more than BLOCK nodes are cut into blocks, each pair
+   of blocks a group of its own.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing; vectors of different lengths don't link; rows are vectors, so repeated
+link with nothing; vectors of different lengths don't link; components are scaled by a
+power of two first, so squares neither overflow nor vanish; rows are vectors, so repeated
 rows link with each other; a null key has no part in a component's least key; an empty
 table gives an empty result; no other column is read.
 """
@@ -28,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, prefix_hash, span_hash, text_buffer
+from .common import Scratch, groups, partitions, prefix_hash, span_hash, text_buffer
 from .components import components, forest
 
-THRESHOLD, RECALL = 0.95, 0.999
+THRESHOLD, RECALL = 0.95, 0.99999
 BUCKET, BLOCK = 512, 2048
-LEAST_BITS, SIGMAS, SEED = 128, 4.0, 99
+LEAST_BITS, SIGMAS, SEED = 128, 6.0, 99
 _PAIRS = 200_000
 
 
@@ -97,8 +101,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
             some = np.concatenate([[0], np.cumsum(flat != 0)])
             ok = (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            most = np.zeros(n)
+            some_rows = np.flatnonzero(size)
+            if len(some_rows):
+                most[some_rows] = np.maximum.reduceat(np.abs(flat), at[some_rows])
+            exponent = np.frexp(np.where(ok, most, 1.0))[1]
+            flat = np.ldexp(np.where(np.repeat(ok, size), flat, 0.0), -np.repeat(exponent, size)) + 0.0  # -0 is 0
             for i in np.flatnonzero(ok).tolist():
-                out[i] = (flat[at[i] : at[i + 1]] + 0.0).tobytes()  # -0 is 0
+                out[i] = flat[at[i] : at[i + 1]].tobytes()
         vec = pa.array(out, pa.binary())
         buf, off, valid = text_buffer(vec)
         node = span_hash(prefix_hash(buf), off[:-1], off[1:]).view(np.int64) if n else np.zeros(0, np.int64)
@@ -111,7 +121,7 @@ def _matrix(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(plan: Plan):
-    """(node, copies, vec, code, factor, buckets) of each node."""
+    """(node, copies, code, factor, buckets) of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +135,41 @@ def _index(plan: Plan):
                 take = pa.array(rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * plan.bands, pa.int32()), pa.array(bucket.ravel()))
                 codes = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), codes, pa.array(factor), lists], names=["node", "copies", "vec", "code", "factor", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), codes, pa.array(factor), lists], names=["node", "copies", "code", "factor", "buckets"])
+
+    return run
+
+
+_GROUP = ["band", "bucket", "i", "j"]
+
+
+def _signs(code: pa.ChunkedArray, plan: Plan) -> np.ndarray:
+    buf, off = _matrix(code.combine_chunks())
+    return np.unpackbits(buf.reshape(len(off) - 1, -1), axis=1)[:, : plan.width].astype(bool)
+
+
+def _screen(plan: Plan, threshold: float):
+    """Of each group, the rows of nodes with a pair whose codes could be of vectors at the threshold."""
+    apart = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    most = apart + SIGMAS * np.sqrt(apart * (1 - apart) / plan.width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, _GROUP):
+            n = t.num_rows
+            if n < 2:
+                continue
+            block, mixed = t.column("block").to_numpy(), t.column("i")[0] != t.column("j")[0]
+            code = _signs(t.column("code"), plan) * np.float32(2) - np.float32(1)
+            left = np.zeros(n, bool)
+            for lo in range(0, n, 512):
+                hi = min(n, lo + 512)
+                maybe = code[lo:hi] @ code.T >= np.float32(plan.width * (1 - 2 * most))
+                maybe[np.arange(hi - lo), np.arange(lo, hi)] = False
+                if mixed:
+                    maybe &= block[None, :] != block[lo:hi, None]
+                left[lo:hi] = maybe.any(1)
+            if left.any():
+                yield from t.filter(pa.array(left)).combine_chunks().to_batches()
 
     return run
 
@@ -133,10 +177,8 @@ def _index(plan: Plan):
 def _compare(plan: Plan, threshold: float):
     """Links within each group of a sorted stream: (a, b, links) with b the root of a's links in the group."""
 
-    def group(band: int, i: int, j: int, block: np.ndarray, node: np.ndarray, copies: np.ndarray, x: np.ndarray, signs: np.ndarray, factor: np.ndarray):
+    def group(band: int, mixed: bool, block: np.ndarray, node: np.ndarray, copies: np.ndarray, x: np.ndarray, signs: np.ndarray, factor: np.ndarray):
         n = len(node)
-        if n < 2 or (i != j and len(np.unique(block)) < 2):
-            return None
         norm = np.linalg.norm(x, axis=1)
         y = (x / norm[:, None]) @ rotation(x.shape[1], plan.width).T
         bucket = buckets(signs, plan, x.shape[1])
@@ -149,7 +191,7 @@ def _compare(plan: Plan, threshold: float):
             upper = (e + back.T) / 2 + SIGMAS * (err[None, :] + back_err[:, None]) / 2
             maybe = upper >= threshold
             maybe &= np.arange(n)[None, :] > np.arange(lo, hi)[:, None]
-            if i != j:
+            if mixed:
                 maybe &= block[None, :] != block[lo:hi, None]
             p, q = np.nonzero(maybe)
             p += lo
@@ -175,30 +217,16 @@ def _compare(plan: Plan, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(node[to[has]]), pa.array(links[has])], names=["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(t: pa.Table):
-            c = {k: t.column(k).to_numpy() for k in ("band", "i", "j", "block", "node", "copies", "factor")}
-            buf, off = _matrix(t.column("vec").combine_chunks())
-            x = buf.view(np.float64).reshape(t.num_rows, -1)
-            code, _ = _matrix(t.column("code").combine_chunks())
-            signs = np.unpackbits(code.reshape(t.num_rows, -1), axis=1)[:, : plan.width].astype(bool)
-            return group(int(c["band"][0]), int(c["i"][0]), int(c["j"][0]), c["block"], c["node"], c["copies"], x, signs, c["factor"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        for t in groups(batches, _GROUP):
+            n = t.num_rows
+            if n < 2:
                 continue
-            t = pa.Table.from_batches([batch])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            g = np.stack([t.column(k).to_numpy() for k in ("band", "bucket", "i", "j")])
-            at = np.concatenate([[0], np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1, [t.num_rows]])
-            for a, b in zip(at[:-2].tolist(), at[1:-1].tolist(), strict=True):
-                if b - a > 1 and (out := done(t.slice(a, b - a))) is not None:
-                    yield out
-            held = t.slice(int(at[-2]))
-        if held is not None and held.num_rows > 1 and (out := done(held)) is not None:
-            yield out
+            c = {k: t.column(k).to_numpy() for k in ("block", "node", "copies", "factor")}
+            buf, _ = _matrix(t.column("vec").combine_chunks())
+            band, mixed = t.column("band")[0].as_py(), t.column("i")[0] != t.column("j")[0]
+            out = group(band, mixed, c["block"], c["node"], c["copies"], buf.view(np.float64).reshape(n, -1), _signs(t.column("code"), plan), c["factor"])
+            if out is not None:
+                yield out
 
     return run
 
@@ -211,7 +239,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding"
     rows = scratch.save(vectors.select(F.col(key).alias("key"), F.col(embedding).alias("e")).mapInArrow(_clean, f"key {kind}, node long, vec binary"))
     one = scratch.save(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("rep"), F.first("vec").alias("vec")))
     plan = Plan.of(one.count(), threshold)
-    index = scratch.save(one.select("node", "copies", "vec").mapInArrow(_index(plan), "node long, copies long, vec binary, code binary, factor double, buckets array<long>"))
+    index = scratch.save(one.select("node", "copies", "vec").mapInArrow(_index(plan), "node long, copies long, code binary, factor double, buckets array<long>"))
 
     # blocks of crowded buckets are settled on narrow rows, then joined to the index by node
     narrow = index.select("node", F.posexplode("buckets").alias("band", "bucket"))
@@ -219,7 +247,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding"
     dealt = narrow.join(crowd, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    wide = index.drop("buckets").join(dealt, "node").repartition(parts, "band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
+    coded = index.drop("buckets").join(dealt, "node").select("node", "copies", "code", "factor", "block", *_GROUP)
+    kind_of = "node long, copies long, code binary, factor double, block int, band int, bucket long, i int, j int"
+    left = scratch.save(coded.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_screen(plan, threshold), kind_of))
+    wide = left.join(one.select("node", "vec"), "node").repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
     found = scratch.save(wide.mapInArrow(_compare(plan, threshold), "a long, b long, links long"))
 
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

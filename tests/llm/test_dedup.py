@@ -163,6 +163,17 @@ def test_embedding_blocks(spark, monkeypatch):
     assert got == {i: int(c) for i, c in enumerate(near)}
 
 
+def test_embeddings_of_odd_sizes_and_repeats(spark):
+    """Huge, tiny and scaled vectors, repeated rows, null keys and columns of clashing names."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal(8)
+    rows = [(0, v), (1, v * 1e200), (2, v * 1e-200), (2, v * 1e-200), (None, v * 2), (3, -v * 1e300), (4, np.full(8, 5e-324)), (5, np.full(8, 1e308)), (6, rng.standard_normal(8))]
+    df = spark.createDataFrame([(k, x.tolist(), 1, 2.0, "c", [3]) for k, x in rows], "vec_id long, embedding array<double>, node int, copies double, code string, bucket array<int>")
+    got = sorted(((r.vec_id is not None, r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in embdedup.digest(df).collect())
+    five = lambda k: ((True, k), 4, 0, k == 0)
+    assert got == [((False, 0), 4, 0, False), five(0), five(1), five(2), five(2), ((True, 3), 0, 3, True), ((True, 4), 1, 4, True), ((True, 5), 1, 4, False), ((True, 6), 0, 6, True)]
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 64))
