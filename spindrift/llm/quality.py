@@ -3,9 +3,8 @@
 Texts become a row of shape figures (case, punctuation, repetition of words and lines,
 word lengths), cut into bins. A logistic model minimises the non-negative unbiased risk
 of trusted positives and unlabelled web text: prior * R_pos(+) + max(0, R_unl(-) -
-prior * R_pos(-)). The class prior is the share of positives among labelled rows if
-there are negatives, else it is estimated from how rare the unlabelled are where
-positives are common. Both samples are bounded (SAMPLE_ROWS of each, by a hash of the key).
+prior * R_pos(-)). The class prior is estimated from how rare the unlabelled are where
+positives are common; labels of 0 teach nothing. Both samples are bounded (SAMPLE_ROWS of each, by a hash of the key).
 
 Defined results: null and empty text are scored as a text without words; an empty table
 gives an empty result; without positives every score is the prior, 0.5; rows of null
@@ -29,6 +28,7 @@ SAMPLE_ROWS = 6000
 #: Scores from here on are accepted.
 ACCEPT = 0.3
 BINS, STEPS, RATE, L2, KNOTS = 12, 600, 0.05, 1e-3, 60
+FOLDS, PRIOR_STEPS = 5, 300
 
 _NOT_LINE = np.ones(256, bool)
 _NOT_LINE[[0x0A, 0x0D]] = False
@@ -118,13 +118,35 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """From scores alone: the least ratio, over thresholds that enough positives pass, of the unlabelled and positive shares above."""
-    cuts = np.quantile(positive, np.arange(0.05, 0.66, 0.05))
+    """From scores alone: the least ratio, over thresholds that enough positives pass, of the
+    unlabelled and positive shares above. No threshold is free of negatives, so each ratio
+    lies above the prior; it is taken one standard error of both shares lower."""
+    cuts = np.quantile(positive, np.append([0.01, 0.02], np.arange(0.05, 0.66, 0.05)))
     p, u = (positive[:, None] >= cuts).mean(0), (unlabelled[:, None] >= cuts).mean(0)
-    return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
+    p, u = p + np.sqrt(p * (1 - p) / len(positive)), u - np.sqrt(u * (1 - u) / len(unlabelled))
+    return float(np.clip((u / p).min(), 0.02, 0.98))
 
 
-def _minimise(pos: np.ndarray, unl: np.ndarray, prior: float, edges: np.ndarray) -> Model:
+def cross_fitted_prior(pos: np.ndarray, unl: np.ndarray, edges: np.ndarray) -> float:
+    """The prior by scores that each row gets from a model that has not learnt it, or the model
+    would know its positives. A model learnt at the first estimate separates better, so the
+    estimate is made again at it; both bound the prior from above, and the lower one holds."""
+    if min(len(pos), len(unl)) < FOLDS:
+        return 0.5
+    of_p, of_u = np.arange(len(pos)) % FOLDS, np.arange(len(unl)) % FOLDS
+
+    def at(prior: float) -> float:
+        zp, zu = np.empty(len(pos)), np.empty(len(unl))
+        for k in range(FOLDS):
+            part = _minimise(pos[of_p != k], unl[of_u != k], prior, edges, PRIOR_STEPS)
+            zp[of_p == k], zu[of_u == k] = part.logit(pos[of_p == k]), part.logit(unl[of_u == k])
+        return estimate_prior(zp, zu)
+
+    first = at(0.5)
+    return min(first, at(first))
+
+
+def _minimise(pos: np.ndarray, unl: np.ndarray, prior: float, edges: np.ndarray, steps: int = STEPS) -> Model:
     """Adam on the non-negative risk with the logistic loss; where the negative part falls below 0 its gradient is undone."""
     f = edges.shape[0]
     model = Model(edges, np.zeros((f, BINS)), float(np.log(prior / (1 - prior))), prior)
@@ -138,7 +160,7 @@ def _minimise(pos: np.ndarray, unl: np.ndarray, prior: float, edges: np.ndarray)
         out = np.bincount(flat.ravel(), weights=np.repeat(g, f), minlength=f * BINS)
         return np.append(out, g.sum())
 
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         zp, zu = theta[:-1][flat_p].sum(1) + theta[-1], theta[:-1][flat_u].sum(1) + theta[-1]
         pp, pu = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -146,7 +168,7 @@ def _minimise(pos: np.ndarray, unl: np.ndarray, prior: float, edges: np.ndarray)
         g = grad(flat_p, -prior * (1 - pp) / len(zp)) + g_neg if negative >= 0 else -g_neg
         g[:-1] += L2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= RATE * (1 - t / (STEPS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        theta -= RATE * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     model.weights, model.bias = theta[:-1].reshape(f, BINS), float(theta[-1])
     return model
 
@@ -155,9 +177,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> Model:
     both = np.concatenate([pos, unl])
     edges = np.stack([np.quantile(both[:, k], np.arange(1, BINS) / BINS) for k in range(both.shape[1])])
     if prior is None:
-        # estimated on halves that the first model has not learnt, or it would know its positives
-        first = _minimise(pos[::2], unl[::2], 0.5, edges)
-        prior = estimate_prior(first.logit(pos[1::2]), first.logit(unl[1::2])) if len(pos) > 1 and len(unl) > 1 else 0.5
+        prior = cross_fitted_prior(pos, unl, edges)
     model = _minimise(pos, unl, float(np.clip(prior, 0.02, 0.98)), edges)
     _calibrate(model, pos, unl)
     return model
@@ -190,19 +210,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     y = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     mine = docs.where(learn).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     u = F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string"), F.lit("quality")), 11) * F.lit(2.0**-53)
-    known = y.join(mine.select("k"), "k").groupBy("y").count().collect()
-    n = {int(r.y): r["count"] for r in known}
-    n_pos, n_all = n.get(1, 0), mine.count()
+    n_pos, n_all = y.where("y = 1").join(mine.select("k").distinct(), "k").count(), mine.count()
     if not n_pos or not n_all:
         return None
-    prior = n_pos / sum(n.values()) if n.get(0) else None
     some = lambda df, of: df.withColumn("u", u).where(F.col("u") < min(1.0, rows / of)).orderBy("u", "k").limit(rows * 5 // 4)
     chosen = some(y.where("y = 1"), max(1, n_pos)) if n_pos else None
     pos = [r.x for r in mine.join(F.broadcast(chosen.select("k")), "k").orderBy("k", "x").limit(rows * 3 // 2).collect()]  # the keys are at most 5/4 of the bound
     unl = [r.x for r in some(mine, n_all).collect()]
     if not pos or not unl:
         return None
-    return fit(_texts_figures(pos), _texts_figures(unl), prior)
+    return fit(_texts_figures(pos), _texts_figures(unl), None)
 
 
 def _scored(col: pa.Array, model: Model | None) -> np.ndarray:
