@@ -43,11 +43,11 @@ class Scratch:
         self._n = 0
         atexit.register(_remove, spark, self.path)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options: str) -> DataFrame:
         self._n += 1
         to = f"{self.path}/{self._n}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(to)
+        df.write.mode("overwrite").options(**options).parquet(to)
         # shuffle files of what is now a table go when the driver's JVM finds them unused
         self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(schema).parquet(to)
