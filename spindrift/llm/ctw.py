@@ -6,17 +6,20 @@ Krichevsky-Trofimov estimate is mixed, half and half, with the product of the no
 byte deeper; after training the counts are frozen, so a text's probability is the
 product of the mixtures along its paths (a proper distribution over texts).
 
-How it is spread: texts are dealt into blocks of about BLOCK_BYTES. A block lists each
-different word and each different (context, byte) once, with its count in training texts.
-Counts are summed by key; the part of the trees under two context bytes is one group
-(about a hundredth of the different keys at most, in any text), what is above it has at
-most 256 * 255 nodes and is finished on the driver. Values go back to the blocks that asked, and meet their texts
-there: no vocabulary or model is broadcast, and all of what is gathered grows with the
-corpus.
+How it is spread: texts are dealt into blocks of about BLOCK_BYTES by a hash of key and
+text. A block lists each different word and each different (context, byte) once, with its
+count in training texts. Counts are summed by key. Keys that share SPLIT context bytes are
+one group; a task takes groups from a sorted stream, a few at a time, and hands on the
+nodes of SPLIT bytes. What is above goes up a level by combined sums, and only the nodes
+of one and of no context byte (65,280 at most) are finished on the driver. Each group is
+told the nodes of its last two bytes, as a line in the probability from below. Values go
+back to the blocks that asked, and meet their texts there: no vocabulary or model is
+broadcast, and all of what is gathered grows with the corpus.
 
 Defined results: null is empty: one token, the end; rows are documents, so repeated rows
 each get a row and count each; without training texts every count is 0; an empty table
-gives an empty result; words are compared by 64-bit hashes; no other column is read.
+gives an empty result; words are compared by 64-bit hashes; no other column is read; null
+and repeated keys are dealt by their texts; a long text is a block of its own.
 """
 
 from __future__ import annotations
@@ -29,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, prefix_hash, span_hash, text_buffer, words
+from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, partitions, prefix_hash, span_hash, text_buffer, words
 
-DEPTH = 5  # context bytes; a key packs them and the byte itself in a long
+DEPTH = 6  # context bytes; a key packs them and the byte itself in a long, so 7 is the most
+SPLIT = 3  # context bytes that a group shares
+#: Keys that a task works on at once, if no group has more.
+GROUP_KEYS = 100_000
 BLOCK_BYTES = 24 << 20
 #: Stands for the end among the words' hashes.
 _END_WORD = 0
@@ -104,7 +110,7 @@ def _choices(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trees:
-    """The levels from DEPTH down to 2 bytes of context, of keys that share those two bytes."""
+    """The levels from DEPTH down to SPLIT bytes of context, of whole groups of keys."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         key, n = key[n > 0], n[n > 0].astype(float)
@@ -113,35 +119,131 @@ class Trees:
         w, bit = np.repeat(n, 8), bit.ravel()
         zeros, ones, below = w * (1 - bit), w * bit, None
         self.levels = []
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, SPLIT - 1, -1):
             level = Level(code, zeros, ones, below)
             self.levels.append(level)
             code = (((level.code >> 8) & ((1 << (8 * (d - 1))) - 1)) << 8) | (level.code & 0xFF)
             zeros, ones, below = level.zeros, level.ones, level.log_pw
 
-    def probability(self, key: np.ndarray, upper: list[Level]) -> np.ndarray:
+    def probability(self, key: np.ndarray, above: Above) -> np.ndarray:
         """log10 of the mixed probability of each key's byte."""
         sofar, bit = _choices(key & 0xFF)
         sofar, bit = sofar.ravel(), bit.ravel().astype(bool)
         context = np.repeat(key >> 8, 8)
         p: np.ndarray | float = 0.5
-        for d, level in zip(range(DEPTH, -1, -1), [*self.levels, *upper], strict=True):
-            p = level.mix(((context & ((1 << (8 * d)) - 1)) << 8) | sofar, bit, p)
-        return np.log10(p).reshape(-1, 8).sum(1)
+        for d, level in zip(range(DEPTH, SPLIT - 1, -1), self.levels, strict=True):
+            p = level.mix(_at(context, d) | sofar, bit, p)
+        return np.log10(above.mix(context, sofar, bit, p)).reshape(-1, 8).sum(1)
 
 
-def _top(table: pa.Table) -> pa.Table:
-    """What a group tells its parents: its nodes of two context bytes."""
-    level = Trees(table.column("k").to_numpy(), table.column("n").to_numpy()).levels[-1]
-    code = level.code
-    return pa.table({"code": (((code >> 8) & 0xFF) << 8) | (code & 0xFF), "zeros": level.zeros, "ones": level.ones, "below": level.log_pw})
+def _at(context: np.ndarray, d: int) -> np.ndarray:
+    """The code of a node of d context bytes, without the bits so far."""
+    return (context & ((1 << (8 * d)) - 1)) << 8
 
 
-def _upper(rows: list) -> list[Level]:
-    """Levels of one and of no context byte from at most 256 * 255 summed rows."""
-    code, zeros, ones, below = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, float, float, float)))
-    one = Level(code, zeros, ones, below)
-    return [one, Level(one.code & 0xFF, one.zeros, one.ones, one.log_pw)]
+class Upper:
+    """The levels of one and of no context byte, from at most 256 * 255 summed rows."""
+
+    def __init__(self, rows: list):
+        code, zeros, ones, below = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int64, float, float, float)))
+        one = Level(code, zeros, ones, below)
+        self.levels = [one, Level(one.code & 0xFF, one.zeros, one.ones, one.log_pw)]
+
+    def mix(self, context: np.ndarray, sofar: np.ndarray, bit: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+        for d, level in zip((1, 0), self.levels, strict=True):
+            p = level.mix(_at(context, d) | sofar, bit, p)
+        return p
+
+
+class Above:
+    """The levels of two bytes and less as seen from nodes of two bytes: for each bit a line, base + slope * (probability from below)."""
+
+    def __init__(self, code: np.ndarray, base0: np.ndarray, base1: np.ndarray, slope: np.ndarray, upper: Upper):
+        self.code, at = np.unique(code, return_index=True)
+        self.base, self.slope, self.upper = np.stack([base0[at], base1[at]]), slope[at], upper
+
+    def mix(self, context: np.ndarray, sofar: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
+        code = _at(context, 2) | sofar
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1) if len(self.code) else np.zeros(len(code), np.int64)
+        seen = self.code[at] == code if len(self.code) else np.zeros(len(code), bool)
+        out = np.empty(len(code))
+        out[seen] = self.base[bit[seen].astype(int), at[seen]] + self.slope[at[seen]] * p[seen]
+        new = np.flatnonzero(~seen)
+        out[new] = self.upper.mix(context[new], sofar[new], bit[new], 0.5)
+        return out
+
+
+def _lines(upper: Upper):
+    """(code, base0, base1, slope) of nodes of two bytes from their sums (code, zeros, ones, below)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, zeros, ones, below = (batch.column(i).to_numpy() for i in range(4))
+            level = Level(code, zeros, ones, below)
+            context, sofar = level.code >> 8, level.code & 0xFF
+            # the upper levels are linear in what comes from below, so two points give the line
+            point = [[upper.mix(context, sofar, np.full(len(sofar), bool(b)), level.mix(level.code, np.full(len(sofar), bool(b)), x)) for x in (0.0, 1.0)] for b in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (level.code, point[0][0], point[1][0], point[0][1] - point[0][0])], names=["code", "base0", "base1", "slope"])
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of two bytes with log_pw in place of the sum from below."""
+    for batch in batches:
+        if batch.num_rows:
+            level = Level(*(batch.column(i).to_numpy() for i in range(4)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (level.code, level.zeros, level.ones, level.log_pw)], names=["code", "zeros", "ones", "below"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of at least `most` rows that end where the column g changes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            t = pa.Table.from_batches(held).combine_chunks()
+            g = t.column("g").to_numpy()
+            other = np.flatnonzero(g != g[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield t.slice(0, cut)
+                t = t.slice(cut)
+            held, size = t.to_batches(), t.num_rows
+            most = max(most, 2 * size) if not cut else most
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _with_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, word, k, n) as they are, and for each group of keys its nodes of SPLIT bytes."""
+    for t in _whole_groups(batches, GROUP_KEYS):
+        word, k, n = t.column("word").to_numpy(zero_copy_only=False), t.column("k").to_numpy(), t.column("n").to_numpy()
+        top = Trees(k[~word], n[~word]).levels[-1]
+        m, x = len(k), len(top.code)
+        first = lambda a, kind: pa.array(np.concatenate([a, np.zeros(x, a.dtype)]), kind, mask=np.arange(m + x) >= m)
+        last = lambda a: pa.array(np.concatenate([np.zeros(m), a]), mask=np.arange(m + x) < m)
+        yield pa.RecordBatch.from_arrays([first(t.column("g").to_numpy(), pa.int64()), first(word, pa.bool_()), pa.array(np.concatenate([k, top.code])), first(n, pa.int64()), last(top.zeros), last(top.ones), last(top.log_pw)], names=["g", "word", "k", "n", "zeros", "ones", "below"])
+
+
+def _values(upper: Upper):
+    """(word, k, v) of each key from whole groups of keys (n) and lines of nodes above (slope)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, GROUP_KEYS):
+            line = t.column("slope").is_valid().to_numpy(zero_copy_only=False)
+            k = t.column("k").to_numpy()
+            above = Above(k[line], *(t.column(c).to_numpy(zero_copy_only=False)[line].astype(float) for c in ("base0", "base1", "slope")), upper)
+            k, n = k[~line], t.column("n").to_numpy(zero_copy_only=False)[~line].astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), bool)), pa.array(k), pa.array(Trees(k, n).probability(k, above))], names=["word", "k", "v"])
+
+    return run
 
 
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +260,23 @@ def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return kinds, np.bincount(code, weights=np.concatenate([n for _, n in parts]), minlength=len(kinds)).astype(np.int64)
 
 
+def _sorted(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(k)
+    return k[order], n[order]
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Eight-byte numbers by planes of their bytes, compressed; longs as differences."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.int64 else a
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+
+
+def _unsqueezed(b: bytes, n: int, kind) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(b, 8 * n, asbytes=True), np.uint8)
+    a = np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
+    return np.cumsum(a) if kind == np.int64 else a
+
+
 def _ask(table: pa.Table) -> pa.Table:
     """A block's different words and keys, with their counts in its training texts."""
     block = table.column("block")[0].as_py()
@@ -171,7 +290,7 @@ def _ask(table: pa.Table) -> pa.Table:
         for held, value, w in ((seen[0], word, train[i:j][of]), (seen[1], key, np.repeat(train[i:j], np.diff(at)))):
             code, kinds = pd.factorize(value)
             held.append((kinds, np.bincount(code, weights=w, minlength=len(kinds))))
-    (word, n_word), (key, n_key) = _count(seen[0]), _count(seen[1])
+    (word, n_word), (key, n_key) = _sorted(*_count(seen[0])), _sorted(*_count(seen[1]))
     return pa.table({
         "block": np.full(len(word) + len(key), block, np.int32), "k": np.concatenate([word, key]),
         "word": np.arange(len(word) + len(key)) < len(word), "n": np.concatenate([n_word, n_key]),
@@ -179,8 +298,8 @@ def _ask(table: pa.Table) -> pa.Table:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values on their way back as a few long rows for each block: keys, then doubles for words (counts) or floats for bytes (logarithms)."""
-    held: list[np.ndarray] = []
+    """Values on their way back as a few long rows for each block: keys, and doubles (words: counts; bytes: logarithms)."""
+    held: list[list[np.ndarray]] = []
     size = 0
 
     def out() -> pa.RecordBatch:
@@ -189,15 +308,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, word, k, v = block[order], word[order], k[order], v[order]
         at = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (word[1:] != word[:-1])))
         cut = list(zip(at.tolist(), np.append(at[1:], len(k)).tolist(), strict=True))
-        ks = [k[a:b].tobytes() for a, b in cut]
-        vs = [v[a:b].tobytes() if word[a] else v[a:b].astype(np.float32).tobytes() for a, b in cut]
-        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(word[at]), pa.array(ks, pa.binary()), pa.array(vs, pa.binary())], names=["block", "word", "k", "v"])
+        ks, vs = [_squeeze(k[a:b]) for a, b in cut], [_squeeze(v[a:b]) for a, b in cut]
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(word[at]), pa.array([b - a for a, b in cut], pa.int32()), pa.array(ks, pa.binary()), pa.array(vs, pa.binary())], names=["block", "word", "m", "k", "v"])
 
     for batch in batches:
         if batch.num_rows:
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             size += batch.num_rows
-        if size >= 200_000:
+        if size >= 400_000:
             yield out()
             held, size = [], 0
     if size:
@@ -207,10 +325,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpack(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
     """(keys in order, values) of one kind."""
     rows = table.filter(pa.array(table.column("word").to_numpy().astype(bool) == word))
-    k = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("k").to_pylist()] or [np.zeros(0, np.int64)])
-    v = np.concatenate([np.frombuffer(x, np.float64 if word else np.float32) for x in rows.column("v").to_pylist()] or [np.zeros(0)])
+    many = rows.column("m").to_pylist()
+    k = np.concatenate([_unsqueezed(x, m, np.int64) for x, m in zip(rows.column("k").to_pylist(), many, strict=True)] or [np.zeros(0, np.int64)])
+    v = np.concatenate([_unsqueezed(x, m, np.float64) for x, m in zip(rows.column("v").to_pylist(), many, strict=True)] or [np.zeros(0)])
     order = np.argsort(k, kind="stable")
-    return k[order], v[order].astype(np.float64)
+    return k[order], v[order]
 
 
 def _look_up(known: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -226,29 +345,40 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), body.alias("t"))
     size = docs.agg(F.sum(F.octet_length(body)).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-((size.b or 0) + 64 * size.n) // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("key"), F.lit("block")), F.lit(blocks)).cast("int"))
-
-    asked = scratch.save(rows.groupBy("block").applyInArrow(_ask, "block int, k long, word boolean, n long"))
-    summed = scratch.save(asked.groupBy("word", "k").agg(F.sum("n").alias("n")))
-    total = summed.where("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    parts = partitions(spark)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("key"), F.xxhash64("t"), F.lit("block")), F.lit(blocks)).cast("int"))
+
+    # ordered longs are small as differences
+    thin = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
+    asked = scratch.save(rows.groupBy("block").applyInArrow(_ask, "block int, k long, word boolean, n long"), **thin)
+    group = F.when(F.col("word"), -1 - F.pmod(F.col("k"), F.lit(1 << 16))).otherwise(F.shiftright("k", 8).bitwiseAND(F.lit((1 << (8 * SPLIT)) - 1)))
+    dealt = asked.select(group.alias("g"), "word", "k", "n").repartition(parts, "g").groupBy("g", "word", "k").agg(F.sum("n").alias("n"))
+    summed = scratch.save(dealt.sortWithinPartitions("g").mapInArrow(_with_tops, "g long, word boolean, k long, n long, zeros double, ones double, below double"), **thin)
+    known = summed.where("word")
+    total = known.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, denominator = int(total.n), total.n + SMOOTH * (total.v + 1)
 
-    group = F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFF))
-    keys = summed.where("not word")
-    tops = keys.where("n > 0").groupBy(group.alias("g")).applyInArrow(lambda t: _top(t), "code long, zeros double, ones double, below double")
-    above = tops.groupBy("code").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    upper = spark.sparkContext.broadcast(_upper([tuple(r) for r in above.orderBy("code").collect()]))
-
-    def values(table: pa.Table) -> pa.Table:
-        k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"word": np.zeros(len(k), bool), "k": k, "v": Trees(k, n).probability(k, upper.value)})
-
-    value = keys.groupBy(group.alias("g")).applyInArrow(values, "word boolean, k long, v double")
-    value = value.union(summed.where("word").select("word", "k", F.col("n").cast("double").alias("v")))
+    def up(nodes: DataFrame, d: int) -> DataFrame:
+        """Sums of the children of the nodes of d bytes."""
+        parent = F.shiftleft(F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)), 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(0xFF)))
+        return nodes.groupBy(parent.alias("parent")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).withColumnRenamed("parent", "code")
+
+    node = "code long, zeros double, ones double, below double"
+    two = scratch.save(up(summed.where("g is null").select(F.col("k").alias("code"), "zeros", "ones", "below"), 2))
+    one = up(two.mapInArrow(_sums, node), 1)  # at most 256 * 255 rows
+    upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in one.orderBy("code").collect()]))
+
+    keys = summed.where("not word").select("g", "k", "n")
+    lines = two.mapInArrow(lambda it: _lines(upper.value)(it), "code long, base0 double, base1 double, slope double").withColumn("c", F.shiftright("code", 8))
+    told_above = keys.select("g").distinct().withColumn("c", F.col("g").bitwiseAND(F.lit(0xFFFF))).join(lines, "c").select("g", F.col("code").alias("k"), F.lit(None).cast("long").alias("n"), "base0", "base1", "slope")
+    no_line = [F.lit(None).cast("double").alias(c) for c in ("base0", "base1", "slope")]
+    both = keys.select("g", "k", "n", *no_line).union(told_above).repartition(parts, "g").sortWithinPartitions("g")
+    value = both.mapInArrow(lambda it: _values(upper.value)(it), "word boolean, k long, v double")
+    value = value.union(known.select("word", "k", F.col("n").cast("double").alias("v")))
     told = asked.drop("n").join(value, ["word", "k"]).select("block", "word", "k", "v")
-    told = scratch.save(told.mapInArrow(_pack, "block int, word boolean, k binary, v binary"))
-    scratch.drop(asked)
-    scratch.drop(summed)
+    told = scratch.save(told.mapInArrow(_pack, "block int, word boolean, m int, k binary, v binary"))
+    for t in (asked, summed, two):
+        scratch.drop(t)
 
     def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
         (word, count), (k, log_p) = _unpack(right, True), _unpack(right, False)

@@ -1,25 +1,30 @@
-"""Removal of repeated substrings of LENGTH bytes or more, bucket by bucket.
+"""Removal of repeated substrings of LENGTH bytes or more by a difference cover, one suffix bucket at a time.
 
 A byte goes if it lies in a LENGTH-byte string that also starts earlier (smaller key, or
-same document and smaller offset). A suffix array of all offsets would move and sort tens
-of bytes for each byte of text. As a difference cover does, a sparse set of offsets stands
-in for all: every LENGTH-byte string holds a sample at an offset that its content alone
-decides (the least of its hashed GRAM-byte strings, the rightmost of equals), so equal
-strings hold equal samples at equal offsets, and samples are about 3 % of offsets.
-
-1. A sample has a bucket (its gram) and a context (all LENGTH-byte strings around it).
-   Repeats inside a task are settled before anything moves.
-2. Buckets are sorted one after another by context and place, streaming, with the state of
-   one row. A context seen before covers all its bytes; buckets of one context are done.
-3. Where a bucket has several contexts, the first sample of each hands in its at most
-   2 * LENGTH bytes, and its strings are compared with those of earlier samples. A bucket
-   with more than HOT contexts is dealt by string instead, with combined minima.
+same document and smaller offset). COVER is a difference cover modulo PERIOD: any two
+offsets i and j have a shift below PERIOD that takes both into the cover. So two equal
+LENGTH-byte strings hold, at equal places, two cover samples (offsets whose residue is in
+COVER) that begin with the same GRAM bytes, and it is enough to sort the samples.
+
+1. A sample has a bucket (by its gram), a rank (a 64-bit name of its gram) and a context
+   (the bytes of all LENGTH-byte strings around it). Repeats inside a task are settled
+   before anything moves.
+2. The BUCKETS are taken one after another: only one bucket's samples are on their way or
+   on disk at a time, so memory and disk hold one part of the suffixes. A bucket is sorted
+   by rank, context and place, streaming, with the state of one row. A context seen before
+   covers all its bytes; ranks of one context are done.
+3. Ties in rank with unlike contexts are long ties: the first sample of each context hands
+   in its at most 2 * LENGTH bytes, and its strings are compared under that rank, by their
+   place against the sample, with those of earlier samples. A rank with more than HOT
+   contexts is dealt by string instead, with combined minima; results are the same.
 4. Intervals meet their documents, and what they cover is cut.
 
-Grams, contexts and strings are compared by 64-bit hashes. Defined results: null is empty;
-texts shorter than LENGTH keep all; rows of one key with one text are one document and
-get one result each; texts of one key count as documents ordered by a hash of the text; a
-null key comes first; an empty table gives an empty result; other columns pass through.
+Ranks are names, which tell equal from unequal: no order of suffixes is needed to find
+repeats. Grams, contexts and strings are compared by 64-bit hashes. Defined results: null
+is empty; texts shorter than LENGTH keep all, a text may have up to 2**31 - 1 bytes; rows
+of one key with one text are one document and get one result each; texts of one key count
+as documents ordered by a hash of the text; a null key comes first; an empty table gives
+an empty result; other columns, of any name, pass through.
 """
 
 from __future__ import annotations
@@ -34,39 +39,28 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, mix, partitions, prefix_hash, span_hash, text_buffer
 
-LENGTH, GRAM = 100, 36
+LENGTH = 100
+#: A perfect difference set: every residue modulo PERIOD is a difference of two of these in one way.
+PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
+GRAM = LENGTH - PERIOD + 1  # whole in a string, wherever in the first PERIOD bytes of it a sample stands
+BUCKETS = 4
 HOT = 20_000
 _REACH = LENGTH - GRAM  # a sample is at most so far behind its string's start
 _LOW = np.uint64((1 << 31) - 1)
+_RESIDUES = np.zeros(PERIOD, bool)
+_RESIDUES[list(COVER)] = True
 #: Rows of contexts that are compared in one go, at least.
 _ROWS = 4096
 
 
-def samples(prefix: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Offsets of the samples: for each LENGTH-byte string inside a text, the rightmost least gram."""
-    n = int(off[-1])
-    if n < LENGTH:
-        return np.zeros(0, np.int64)
-    at = np.arange(n - GRAM + 1)
-    v = span_hash(prefix, at, at + GRAM)
-    v &= ~_LOW
-    v |= _LOW - at.astype(np.uint64)
-    low, width = v, 1
-    while width * 2 <= _REACH + 1:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    rest = _REACH + 1 - width
-    if rest:
-        low = np.minimum(low[: len(low) - rest], low[rest:])
-    starts = np.zeros(n + 1, np.int64)
-    m = np.maximum(np.diff(off) - LENGTH + 1, 0)
-    inside = np.flatnonzero(m)
-    np.add.at(starts, off[:-1][inside], 1)
-    np.add.at(starts, off[:-1][inside] + m[inside], -1)
-    valid = np.cumsum(starts)[: len(low)] > 0
-    flag = np.zeros(n, bool)
-    flag[(_LOW - (low[valid] & _LOW)).astype(np.int64)] = True
-    return np.flatnonzero(flag)
+def samples(off: np.ndarray) -> np.ndarray:
+    """Offsets of the cover samples of each text that has LENGTH bytes: those whose distance from the text's start has a residue in COVER, with a whole gram behind them."""
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if b - a >= LENGTH:
+            n = b - a - GRAM + 1
+            out.append(a + np.flatnonzero(np.resize(_RESIDUES, n)))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _pack(s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -98,26 +92,29 @@ def _rows(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], names=list(cols))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, doc, span): samples with bucket and context, and intervals that a task can tell by itself."""
-    for batch in batches:
+def _sample(bucket: int, buckets: int):
+    """(h, c, doc, span): samples of one bucket with rank and context, and intervals that a task can tell by itself."""
+
+    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column(0).to_numpy()
         buf, off, _ = text_buffer(batch.column(1))
         parts = []
         for i, j in chunks(off):
             b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
             prefix = prefix_hash(b)
-            at = samples(prefix, o)
+            at = samples(o)
+            h = span_hash(prefix, at, at + GRAM)
+            mine = h % np.uint64(buckets) == np.uint64(bucket)
+            at, h = at[mine], h[mine]
             if not len(at):
                 continue
             of = np.searchsorted(o, at, "right") - 1
             lo, hi = np.maximum(o[of], at - _REACH), np.minimum(o[of + 1], at + LENGTH)
-            h = span_hash(prefix, at, at + GRAM)
             with np.errstate(over="ignore"):
                 c = mix(span_hash(prefix, lo, hi) + (at - lo).astype(np.uint64))
             parts.append(np.stack([h.view(np.int64), c.view(np.int64), ids[i:j][of], at - o[of], lo - o[of], hi - o[of]]))
         if not parts:
-            continue
+            return None
         a = np.concatenate(parts, axis=1)
         a = a[:, np.lexsort((a[3], a[2], a[1], a[0]))]
         new = np.ones(a.shape[1], bool)
@@ -125,8 +122,16 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = ~new & ((a[2] != a[2, first]) | (a[3] != a[3, first]))
         doc, s, e = _merged(a[2][later], a[4][later], a[5][later])
-        one = a[:, new]
-        yield _rows(h=np.concatenate([one[0], mix(doc.view(np.uint64)).view(np.int64)]), c=np.concatenate([one[1], np.zeros(len(doc), np.int64)]), doc=np.concatenate([one[2], doc]), span=np.concatenate([one[3], _pack(s, e)]), reach=np.concatenate([(one[3] - one[4]) << 8 | (one[5] - one[3]), np.zeros(len(doc), np.int64)]).astype(np.int32))
+        one, none = a[:, new], np.zeros(len(doc), np.int64)
+        reach = (one[3] - one[4]) << 8 | (one[5] - one[3])
+        return _rows(h=np.concatenate([one[0], mix(doc.view(np.uint64)).view(np.int64)]), c=np.concatenate([one[1], none]), doc=np.concatenate([one[2], doc]), span=np.concatenate([one[3], _pack(s, e)]), reach=np.concatenate([reach, none]).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if (out := of_batch(batch)) is not None:
+                yield out
+
+    return run
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,45 +254,74 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(name=name, doc=doc[row], s=at[row] + start)
 
 
-def _numbered(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """docs with a long `__doc` that orders documents and a non-null `__body`. Unique long keys serve as they are."""
-    rows = docs.withColumn("__body", F.coalesce(F.col(text), F.lit("")))
+def _own(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    name = "__s"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(docs with a long that orders documents and a non-null text, whether a document may have several rows). The two come last.
+
+    Unique long keys serve as they are. Others are sorted by range with their text's hash and
+    numbered by partition and row there, which keeps the order without a count of rows."""
+    own = _own(docs)
+    rows = docs.withColumn(f"{own}_body", F.coalesce(F.col(text), F.lit("")))
     kind = dict(docs.dtypes)[key]
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        odd = docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n").__gt__(1) | F.col(key).isNull()).limit(1).count()
+        odd = docs.groupBy(key).agg(F.count("*").alias(f"{own}_n")).where((F.col(f"{own}_n") > 1) | F.col(key).isNull()).limit(1).count()
         if not odd:
-            return rows.withColumn("__doc", F.col(key).cast("long"))
-    rows = rows.withColumn("__hash", F.xxhash64("__body"))
-    order = rows.select(F.col(key).alias("__key"), "__hash").distinct().orderBy(F.asc_nulls_first("__key"), "__hash")
-    spark = docs.sparkSession
-    numbers = order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = scratch.save(spark.createDataFrame(numbers, f"__key {kind}, __hash2 long, __doc long"))
-    return rows.join(numbers, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__hash2"))).drop("__key", "__hash", "__hash2")
-
-
-def intervals(rows: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """(doc, span) intervals, not yet merged, of what repeats in rows (__doc, __body)."""
-    spark = rows.sparkSession
-    parts = partitions(spark)
-    body = rows.select("__doc", "__body")
-    sampled = body.mapInArrow(_sample, "h long, c long, doc long, span long, reach int")
+            return rows.select(*docs.columns, F.col(key).cast("long").alias(f"{own}_doc"), f"{own}_body"), False
+    rows = rows.withColumn(f"{own}_hash", F.xxhash64(f"{own}_body"))
+    pairs = rows.select(F.col(key).alias("k"), F.col(f"{own}_hash").alias("h")).distinct()
+    order = [F.asc_nulls_first("k"), F.asc("h")]
+    numbers = pairs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id())
+    numbers = scratch.save(numbers).select(F.col("k").alias(f"{own}_k"), F.col("h").alias(f"{own}_h"), F.col("doc").alias(f"{own}_doc"))
+    met = rows.join(numbers, F.col(key).eqNullSafe(F.col(f"{own}_k")) & (F.col(f"{own}_hash") == F.col(f"{own}_h")))
+    return met.select(*docs.columns, f"{own}_doc", f"{own}_body"), True
+
+
+def intervals(body: DataFrame, scratch: Scratch, hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
+    """(doc, span) intervals, not yet merged, of what repeats in (doc, body); a document has one row."""
+    out = None
+    for b in range(buckets):
+        told = _of_bucket(body, scratch, hot, b, buckets)
+        out = told if out is None else out.union(told)
+    return out
+
+
+def _of_bucket(body: DataFrame, scratch: Scratch, hot: int, bucket: int, buckets: int) -> DataFrame:
+    """What the samples of one bucket tell, as a table."""
+    parts = partitions(body.sparkSession)
+    sampled = body.mapInArrow(_sample(bucket, buckets), "h long, c long, doc long, span long, reach int")
     order = ["h", "c", "doc", "span"]
     found = scratch.save(sampled.repartition(parts, "h").sortWithinPartitions(*order).mapInArrow(_bucket, "h long, doc long, span long"))
-    asked = found.where("span >= 0").distinct().groupBy("doc").agg(F.collect_list(F.struct("span", "h")).alias("asked"))
-    with_text = body.dropDuplicates(["__doc"]) if "__hash" in rows.columns else body
-    contexts = with_text.join(asked, with_text["__doc"] == asked["doc"]).select("__doc", "__body", "asked").mapInArrow(_context, "h long, doc long, at long, back long, ctx binary")
+    asked = found.where("span >= 0").distinct().groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("span", "h")).alias("asked"))
+    contexts = body.join(asked, body["doc"] == asked["d"]).select("doc", "body", "asked").mapInArrow(_context, "h long, doc long, at long, back long, ctx binary")
     contexts = scratch.save(contexts)
     crowded = scratch.save(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"))
     some = not crowded.isEmpty()
     calm = contexts.join(crowded, "h", "left_anti") if some else contexts
-    told = calm.repartition(parts, "h").sortWithinPartitions("h", "doc", "at").mapInArrow(_resolve, "doc long, span long")
-    out = found.where("span < 0").select("doc", "span").union(told)
+    out = calm.repartition(parts, "h").sortWithinPartitions("h", "doc", "at").mapInArrow(_resolve, "doc long, span long")
     if some:
         strings = scratch.save(contexts.join(crowded, "h", "left_semi").mapInArrow(_explode, "name long, doc long, s long"))
         least = strings.groupBy("name").agg(F.min(F.struct("doc", "s")).alias("m"))
         later = strings.join(least, "name").where(F.struct("doc", "s") > F.col("m")).select("doc", (-(F.shiftleft("s", 31) + F.col("s") + LENGTH) - 1).alias("span")).distinct()
         out = out.union(later)
-    return out
+    done = scratch.save(found.where("span < 0").select("doc", "span").union(out).mapInArrow(_merge, "doc long, span long"))
+    for t in (found, contexts, crowded, *([strings] if some else ())):
+        scratch.drop(t)
+    return done
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer intervals that cover the same."""
+    for batch in batches:
+        doc, (s, e) = batch.column(0).to_numpy(), _unpack(batch.column(1).to_numpy())
+        doc, s, e = _merged(doc, s, e)
+        yield _rows(doc=doc, span=_pack(s, e))
 
 
 def _cut(place: int, text: int | None, digest_only: bool):
@@ -327,21 +361,28 @@ def _cut(place: int, text: int | None, digest_only: bool):
     return run
 
 
-def _with_spans(docs: DataFrame, key: str, text: str, hot: int) -> DataFrame:
+def _with_spans(docs: DataFrame, key: str, text: str, hot: int, buckets: int) -> DataFrame:
+    """docs with their body and intervals as the last two columns."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows = _numbered(docs, key, text, scratch)
-    spans = scratch.save(intervals(rows, scratch, hot)).groupBy(F.col("doc").alias("__span_doc")).agg(F.collect_list("span").alias("__spans"))
-    return rows.join(spans, rows["__doc"] == spans["__span_doc"], "left")
+    rows, several = _numbered(docs, key, text, scratch)
+    doc, body = rows.columns[-2:]
+    bodies = rows.select(F.col(doc).alias("doc"), F.col(body).alias("body"))
+    if several:
+        bodies = scratch.save(bodies.dropDuplicates(["doc"]))
+    own = _own(rows)
+    spans = intervals(bodies, scratch, hot, buckets).groupBy(F.col("doc").alias(f"{own}_of")).agg(F.collect_list("span").alias(f"{own}_spans"))
+    return rows.join(spans, F.col(doc) == F.col(f"{own}_of"), "left").select(*docs.columns, body, f"{own}_spans")
 
 
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    rows = _with_spans(docs.select(key, text), key, text, hot).select(F.col(key).alias("k"), "__body", "__spans")
+    rows = _with_spans(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t", hot, buckets)
+    rows = rows.select("k", *rows.columns[-2:])
     kind = dict(rows.dtypes)["k"]
     return rows.mapInArrow(_cut(1, None, True), f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("k", key)
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
     """docs without what repeats; a character that a cut parts is dropped whole."""
-    rows = _with_spans(docs, key, text, hot).select(*docs.columns, "__body", "__spans")
+    rows = _with_spans(docs, key, text, hot, buckets)
     return rows.mapInArrow(_cut(len(docs.columns), docs.columns.index(text), False), docs.schema)

@@ -126,6 +126,28 @@ def test_suffix_dedup_equals_brute_force(spark, hot, batch):
     assert got == brute_suffix(enumerate(data.texts()))
 
 
+def test_difference_cover():
+    """Any two offsets are taken into the cover by one shift below the period."""
+    cover, v = set(suffixdedup.COVER), suffixdedup.PERIOD
+    assert all(any((i + d) % v in cover and (j + d) % v in cover for d in range(v)) for i in range(v) for j in range(v))
+    assert suffixdedup.GRAM + v - 1 <= suffixdedup.LENGTH
+    off = np.array([0, 99, 250, 250, 350])
+    want = [a + p for a, b in ((99, 250), (250, 350)) for p in range(b - a - suffixdedup.GRAM + 1) if p % v in cover]
+    assert suffixdedup.samples(off).tolist() == want
+
+
+@pytest.mark.parametrize("shift", [0, 1, 19, 56, 57, 100])
+def test_suffix_dedup_at_every_alignment(spark, shift):
+    """Passages that stand at offsets of unlike residues, once or many times, with their edges a byte apart."""
+    rng = random.Random(shift)
+    passage = data.prose(rng, 80)
+    rows = [(i, data.prose(rng, 10)[: 7 * i + shift] + passage[i % 5 : len(passage) - i % 3] + data.prose(rng, rng.randint(0, 30))) for i in range(24)]
+    rows += [(90, passage[:99]), (91, passage[1:100]), (92, passage[:100]), (93, "é" * 60 + passage[:160] * 3), (94, "é" * 75)]
+    df = spark.createDataFrame([(k, t, 1, 2, "h") for k, t in rows], "doc_id long, text string, __s_doc int, doc int, body string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.digest(df).collect()}
+    assert got == brute_suffix(rows)
+
+
 def test_suffix_dedup_odd_keys(spark):
     t = "abcdefghij" * 5 + "klmnopqrstuvwxyz" * 6
     rows = [(2, t), (2, t), (None, "z" + t), (1, None), (5, "")]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,19 +144,87 @@ def test_redaction(spark):
         assert text[i] == want
 
 
+def plain_ctw(train, texts, depth):
+    """log10 probabilities of texts by one context tree for each of the eight choices of a byte, node by node."""
+    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+    def symbols(t):
+        return [*(t or "").encode().translate(lower), 0xFF]
+
+    def choices(t):
+        past = (0xFE,) * depth
+        for byte in symbols(t):
+            for i in range(8):
+                yield past, ((1 << i) | (byte >> (8 - i))), (byte >> (7 - i)) & 1
+            past = (*past[1:], byte)
+
+    count = {}
+    for t in train:
+        for past, sofar, bit in choices(t):
+            for d in range(depth + 1):
+                count.setdefault((past[depth - d :], sofar), [0, 0])[bit] += 1
+    children = {}
+    for past, sofar in count:
+        if past:
+            children.setdefault((past[1:], sofar), []).append((past, sofar))
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    log_pw = {}
+    for node in sorted(count, key=lambda x: -len(x[0])):
+        own = kt(*count[node])
+        log_pw[node] = own if len(node[0]) == depth else float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(log_pw[c] for c in children[node])))
+
+    def chance(past, sofar, bit):
+        p = 0.5
+        for d in range(depth, -1, -1):
+            node = (past[depth - d :], sofar)
+            if node not in count:
+                p = 0.5
+                continue
+            c = count[node]
+            w = 1.0 if d == depth else math.exp(math.log(0.5) + kt(*c) - log_pw[node])
+            p = w * (c[bit] + 0.5) / (c[0] + c[1] + 1) + (1 - w) * p
+        return p
+
+    return [sum(math.log10(chance(*x)) for x in choices(t)) for t in texts]
+
+
+def test_context_trees_equal_plain_ones(spark):
+    texts = [t if t is None else t[:400] for t in data.texts()[:70]] + ["Aß aab abab", "the of and", None, "", "zzzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ctw.score(docs, ~held_out(10, 0), block_bytes=3000).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    want = plain_ctw(train, texts, ctw.DEPTH)
+    assert all(abs(got[i] - x) < 1e-9 * max(1, abs(x)) for i, x in enumerate(want))
+
+
+def test_context_trees_of_few_keys_at_once(spark, monkeypatch):
+    """Groups larger than what a task takes at once, odd keys and repeated rows."""
+    monkeypatch.setattr(ctw, "GROUP_KEYS", 3)
+    texts = [(None, "one two"), (None, "one two"), (1, "one"), (1, "one"), (2, None), (None, "three " * 50), (7, "x" * 70_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ctw.score(docs, ~held_out(10, 0)).collect()
+    want = dict(zip([t for _, t in texts], plain_ctw([t for _, t in texts], [t for _, t in texts], ctw.DEPTH)))
+    assert len(got) == len(texts) and sorted(r.score for r in got) == pytest.approx(sorted(want[t] for _, t in texts), rel=1e-9)
+
+
 def test_context_trees_are_distributions():
     key, _ = ctw.keys_of(np.frombuffer(b"abracadabra" * 5 + b"xyz", np.uint8), np.array([0, 20, 20, 58]))
     kinds, n = np.unique(key, return_counts=True)
-    groups = (kinds >> 8) & 0xFFFF
-    rows = []
-    for g in np.unique(groups):
-        level = ctw.Trees(kinds[groups == g], n[groups == g]).levels[-1]
-        rows += list(zip((((level.code >> 8) & 0xFF) << 8) | (level.code & 0xFF), level.zeros, level.ones, level.log_pw))
-    upper = ctw._upper(rows)
+    top = ctw.Trees(kinds, n).levels[-1]
+    up = lambda level, d: ctw.Level(ctw._at(level.code >> 8, d) | (level.code & 0xFF), level.zeros, level.ones, level.log_pw)
+    two = up(top, 2)
+    one = up(two, 1)
+    below = [(c, a, b, np.bincount(np.searchsorted(one.code, ctw._at(two.code >> 8, 1) | (two.code & 0xFF)), weights=two.log_pw)[i]) for i, (c, a, b) in enumerate(zip(one.code, one.zeros, one.ones))]
+    upper = ctw.Upper(below)
+    sums = np.bincount(np.searchsorted(two.code, ctw._at(top.code >> 8, 2) | (top.code & 0xFF)), weights=top.log_pw)
+    lines = next(ctw._lines(upper)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in (two.code, two.zeros, two.ones, sums)], names=list("abcd"))])))
+    above = ctw.Above(*(lines.column(i).to_numpy() for i in range(4)), upper)
     for context in (*{int(k) >> 8 for k in kinds}, 0x123456789A):
         asked = (context << 8) | np.arange(256)
-        mine = groups == (context & 0xFFFF)
-        p = 10 ** ctw.Trees(kinds[mine], n[mine]).probability(asked, upper)
+        p = 10 ** ctw.Trees(kinds, n).probability(asked, above)
         assert abs(p.sum() - 1) < 1e-9
 
 
