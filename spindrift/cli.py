@@ -48,9 +48,9 @@ def main(argv: list[str] | None = None) -> int:
             print(g, *sorted(k for k, v in ALIASES.items() if v == g))
         return 0
     if a.command == "recipes":
-        from spindrift.plans.recipes import CATALOGUE
+        from spindrift.plans.recipes import Library
 
-        for group, recipes in CATALOGUE.items():
+        for group, recipes in Library.of().groups().items():
             print(f"{group}: {', '.join(recipes)}")
         return 0
     spark = session()

@@ -73,6 +73,14 @@ def _wider(*vs: Value) -> str:
     return kinds.pop() if len(kinds) == 1 else "other"
 
 
+def _whole_power(x: Column, n: int) -> Column:
+    """x to the nth by squaring, exact in longs; beyond them it fails as other arithmetic does."""
+    if n == 0:
+        return F.when(x.isNotNull(), F.lit(1).cast("long"))
+    half = _whole_power(x, n // 2) if n > 1 else None
+    return x if half is None else half * half * x if n % 2 else half * half
+
+
 class Translator:
     def __init__(self, columns: dict[str, Value], attribute: Callable[[str, str], Value] | None = None, where: str = "expression"):
         self.columns, self.attribute, self.where = columns, attribute, where
@@ -174,9 +182,9 @@ class Translator:
         if op is ast.Mod:
             return Value(_mod(a, b), kind)
         if op is ast.Pow:
-            p = F.pow(a.col.cast("double"), b.col.cast("double"))
-            whole = kind == "int" and isinstance(n.right, ast.Constant) and n.right.value >= 0
-            return Value(p.cast("long"), "int") if whole else Value(p, "float")
+            if kind == "int" and isinstance(n.right, ast.Constant) and 0 <= n.right.value < 64:
+                return Value(_whole_power(a.col, n.right.value), "int")
+            return Value(F.pow(a.col.cast("double"), b.col.cast("double")), "float")
         self.fail(f"{op.__name__} is not allowed")
 
     def _boolop(self, n: ast.BoolOp) -> Value:

@@ -15,7 +15,7 @@ STRFTIME = {
 
 def title(x: Column) -> Column:
     """Upper case after anything but a letter."""
-    parts = F.split(F.lower(x), "(?<=[^a-z])")
+    parts = F.split(F.lower(x), r"(?<=[^\p{L}])")
     return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 

@@ -9,11 +9,12 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.functions.text import comparable
+from spindrift.operators.validation import with_repeats
 from spindrift.sources.scratch import Scratch, groups, partitions, trim
 
 SIMILARITY, SHINGLE, SIGNATURE = 0.7, 3, 64
@@ -23,14 +24,14 @@ BLOCK, _ROWS = 2048, 256
 _GRAMS, _MATCHES, _SMALL = (256, 32, 8, 2, 1), 250_000, 2500
 
 
-def exact(text: str | Column, order: str) -> Column:
-    """True for the second and later rows of a text."""
+def exact(df: DataFrame, text: str | Column, order: str, name: str) -> DataFrame:
+    """df with `name`, true for the second and later rows of a text. Texts meet by their SHA-256."""
     t = F.col(text) if isinstance(text, str) else text
-    return t.isNotNull() & (F.row_number().over(Window.partitionBy(F.xxhash64(t), t).orderBy(order)) > 1)
+    return with_repeats(df, [F.sha2(t, 256)], order, name)
 
 
-def normalized(text: str, order: str) -> Column:
-    return exact(comparable(F.col(text)), order)
+def normalized(df: DataFrame, text: str, order: str, name: str) -> DataFrame:
+    return exact(df, comparable(F.col(text)), order, name)
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -284,7 +285,8 @@ def report(df: DataFrame, key: str, text: str, methods: tuple[str, ...] = ("exac
         raise ValueError("the embeddings method needs vectors; see the embedding operator")
     if chaos and chaos in df.columns:
         df = df.where(~F.map_contains_key(chaos, F.lit("@duplicate")))
-    marked = df.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("e", exact("t", "k")).withColumn("n", normalized("t", "k"))
+    hashed = df.select(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("x"), F.sha2(comparable(F.col(text)), 256).alias("y"))
+    marked = with_repeats(with_repeats(hashed, ["x"], "k", "e"), ["y"], "k", "n")
     near = near_pairs(df, key, text, similarity).select(F.col("b").alias("k"), F.lit(True).alias("m")) if "minhash" in methods else None
     marked = marked.join(near, "k", "left") if near is not None else marked.withColumn("m", F.lit(False))
     m = F.coalesce("m", F.lit(False))

@@ -382,8 +382,8 @@ def _lookup(o, c):
 
 
 # ---------------------------------------------------------------- time
-# Weights of the hours of a working day.
-BUSINESS_HOURS = [0, 0, 0, 0, 0, 0, 1, 3, 8, 12, 13, 12, 8, 11, 12, 11, 9, 6, 3, 1, 0, 0, 0, 0]
+# Weights of the hours of a day that has business hours, midnight first.
+BUSINESS_HOURS = [0.2, 0.1, 0.1, 0.1, 0.2, 0.6, 1.5, 3.0, 6.0, 8.0, 8.5, 8.0, 6.0, 7.5, 8.0, 8.0, 7.0, 5.0, 3.0, 2.0, 1.5, 1.0, 0.7, 0.4]
 
 
 def moment(v: Any, now: dt.datetime) -> dt.datetime:

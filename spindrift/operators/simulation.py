@@ -54,26 +54,40 @@ def allocate(subjects: DataFrame, index: str, n: int, events: int, how: str = "u
     return prefix_sum(counted.drop("__w", "__x", "__floor", "__frac", "__one"), index, "count", "start", n)
 
 
-def _leftovers(x: DataFrame, index: str, left: int) -> DataFrame:
-    """One more for the `left` rows with the largest fractions, the smaller index first among equals."""
-    if left <= 0:
-        return x.withColumn("__one", F.lit(0))
-    # the fraction at which the count is reached, found from a bounded histogram, then ties by index
-    cut, above, lo, hi = None, 0, 0.0, 1.0
-    for _ in range(6):
-        step = (hi - lo) / 1000
-        if step <= 0:
-            break
-        bins = x.where((F.col("__frac") >= lo) & (F.col("__frac") < hi)).groupBy(F.least(F.floor((F.col("__frac") - lo) / step), F.lit(999)).alias("b")).count().collect()
+#: Bins of a histogram that the driver gets, and rows among which a cut is made by sorting.
+_BINS, _FEW = 1000, 10_000
+
+
+def _narrowed(x: DataFrame, value: Column, lo: int, hi: int, want: int) -> tuple[int, int, int, int]:
+    """The part [lo, hi) of a long's range that holds the want-th largest row: (lo, hi, rows above it, rows in it)."""
+    above, inside = 0, 1 << 62
+    while inside > _FEW and hi - lo > 1:
+        step = -(-(hi - lo) // _BINS)
+        bins = x.where((value >= lo) & (value < hi)).select((value - lo).alias("v")).groupBy(F.expr(f"v div {step}").alias("b")).count().collect()
         for r in sorted(bins, key=lambda r: -r.b):
-            if above + r["count"] >= left:
-                lo, hi, cut = lo + r.b * step, lo + (r.b + 1) * step, r["count"]
+            if above + r["count"] >= want:
+                lo, hi, inside = lo + r.b * step, min(hi, lo + (r.b + 1) * step), r["count"]
                 break
             above += r["count"]
-        if cut is None or cut <= 10_000:
-            break
-    mid = x.where((F.col("__frac") >= lo) & (F.col("__frac") < hi)).select(F.col(index).alias("__i"), "__frac").orderBy(F.desc("__frac"), "__i").limit(left - above)
-    return x.join(mid.select("__i", F.lit(1).alias("__in")), F.col(index) == F.col("__i"), "left").withColumn("__one", F.when((F.col("__frac") >= hi) | F.col("__in").isNotNull(), 1).otherwise(0)).drop("__i", "__in")
+    return lo, hi, above, inside
+
+
+def _leftovers(x: DataFrame, index: str, left: int) -> DataFrame:
+    """One more for the `left` rows with the largest fractions, the smaller index first among equals.
+
+    The last of them is found by bounded histograms, of fractions and then, among equal
+    fractions, of indexes, so neither ties nor their number put many rows in a task."""
+    if left <= 0:
+        return x.withColumn("__one", F.lit(0))
+    i, key = F.col(index).cast("long"), F.floor(F.col("__frac") * F.lit(2.0**60)).cast("long")
+    lo, hi, above, inside = _narrowed(x, key, 0, 1 << 60, left)
+    part = x.where((key >= lo) & (key < hi))
+    if inside > _FEW:  # equal fractions
+        ends = part.agg(F.min(i).alias("a"), F.max(i).alias("b")).first()
+        low, high, before, _ = _narrowed(part, -i, -ends.b, 1 - ends.a, left - above)
+        part, above = part.where((-i >= low) & (-i < high)), above + before
+    last = part.select(key.alias("f"), i.alias("i")).orderBy(F.desc("f"), "i").limit(left - above).orderBy("f", F.desc("i")).first()
+    return x.withColumn("__one", F.when((key > last.f) | ((key == last.f) & (i <= last.i)), 1).otherwise(0))
 
 
 def prefix_sum(df: DataFrame, index: str, value: str, name: str, n: int, width: int = 65_536) -> DataFrame:
@@ -85,10 +99,20 @@ def prefix_sum(df: DataFrame, index: str, value: str, name: str, n: int, width:
     return blocked.join(before, "__b").withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("__before")).drop("__b", "__before")
 
 
-def events_of(allocated: DataFrame, subject: str) -> DataFrame:
-    """(index, subject, ordinal, total) of every event, exploded from its subject."""
-    made = allocated.where("count > 0").select(F.col(subject).alias("subject"), F.col("count").alias("total"), "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("ordinal"))
-    return made.select((F.col("start") + F.col("ordinal")).alias("index"), "subject", "ordinal", "total")
+#: Events that one row of a subject is opened to.
+EVENTS_OF_ROW = 10_000
+
+
+def events_of(allocated: DataFrame, subject: str, lo: int = 0, hi: int | None = None) -> DataFrame:
+    """(index, subject, ordinal, total) of the events lo to hi, exploded from their subjects.
+
+    A subject is first cut into pieces of EVENTS_OF_ROW, dealt by subject and piece, so a head
+    of the distribution is spread; subjects outside the range are never opened."""
+    first, behind = F.greatest(F.lit(lo) - F.col("start"), F.lit(0)), F.col("count") if hi is None else F.least(F.lit(hi) - F.col("start"), F.col("count"))
+    some = allocated.select(F.col(subject).alias("subject"), F.col("count").alias("total"), "start", first.cast("long").alias("a"), behind.cast("long").alias("b")).where("b > a")
+    pieces = some.withColumn("piece", F.explode(F.sequence(F.expr(f"a div {EVENTS_OF_ROW}"), F.expr(f"(b - 1) div {EVENTS_OF_ROW}")))).repartition("subject", "piece")
+    within = F.sequence(F.greatest("a", F.col("piece") * EVENTS_OF_ROW), F.least("b", (F.col("piece") + 1) * EVENTS_OF_ROW) - 1)
+    return pieces.select("start", "subject", "total", F.explode(within).alias("ordinal")).select((F.col("start") + F.col("ordinal")).alias("index"), "subject", "ordinal", "total")
 
 
 def quantile(ordinal: Column, total: Column) -> Column:
@@ -96,10 +120,16 @@ def quantile(ordinal: Column, total: Column) -> Column:
 
 
 def allocation_report(allocated: DataFrame, n: int) -> DataFrame:
-    """(mean, max, min, share of the top tenth)."""
-    top = max(1, n // 10)
-    best = allocated.orderBy(F.desc("count")).limit(top).agg(F.sum("count").alias("t"))
-    return allocated.agg(F.avg("count").alias("mean"), F.max("count").alias("max"), F.min("count").alias("min"), F.sum("count").alias("s")).crossJoin(best).select("mean", "max", "min", (F.col("t") / F.col("s")).alias("top_decile"))
+    """(mean, max, min, share of the top tenth). The tenth's least count is found by histograms, not by sorting it."""
+    top, c = max(1, n // 10), F.col("count").cast("long")
+    least, most = allocated.agg(F.min(c), F.max(c)).first()
+    if least is None:
+        return allocated.agg(F.avg("count").alias("mean"), F.max("count").alias("max"), F.min("count").alias("min"), F.lit(None).cast("double").alias("top_decile"))
+    lo, hi, above, _ = _narrowed(allocated, c, least, most + 1, min(top, n))
+    part = allocated.where((c >= lo) & (c < hi)).select(c.alias("c"))
+    rest = (top - above) * lo if hi - lo <= 1 else part.orderBy(F.desc("c")).limit(top - above).agg(F.sum("c")).first()[0]
+    best = F.coalesce(F.sum(F.when(c >= hi, c)), F.lit(0)) + F.lit(rest)
+    return allocated.agg(F.avg("count").alias("mean"), F.max("count").alias("max"), F.min("count").alias("min"), (best / F.sum("count")).alias("top_decile"))
 
 
 def stream_subject(index: Column, n: int, draws: Draws, how: str, skew: float) -> Column:
@@ -117,46 +147,59 @@ def stream_subject(index: Column, n: int, draws: Draws, how: str, skew: float) -
 
 
 # ---------------------------------------------------------------- timeline
-# Weights of hours and weekdays (Monday first) by shape.
+# Relative weights of weekdays (Monday first) and of hours (midnight first).
+FLAT_WEEK, FLAT_DAY = [1.0] * 7, [1.0] * 24
+BUSINESS_WEEK = [1.0, 1.05, 1.05, 1.0, 0.9, 0.12, 0.08]
+RETAIL_WEEK = [0.82, 0.8, 0.84, 0.9, 1.05, 1.25, 1.15]
+OFFICE_DAY = [0.02, 0.01, 0.01, 0.01, 0.02, 0.05, 0.15, 0.45, 0.95, 1.0, 1.0, 0.95, 0.7, 0.9, 1.0, 0.95, 0.85, 0.55, 0.25, 0.15, 0.1, 0.07, 0.05, 0.03]
+EVENING_DAY = [0.15, 0.08, 0.05, 0.04, 0.04, 0.06, 0.12, 0.25, 0.4, 0.5, 0.55, 0.6, 0.65, 0.6, 0.58, 0.6, 0.7, 0.85, 1.0, 1.0, 0.95, 0.8, 0.55, 0.3]
+#: (hours, weekdays) by shape.
 SHAPES: dict[str, tuple[list[float], list[float]]] = {
-    "flat": ([1] * 24, [1] * 7),
-    "business_hours": ([0.05] * 6 + [0.2, 0.6, 1.6, 2.2, 2.4, 2.2, 1.6, 2.0, 2.3, 2.2, 1.9, 1.2, 0.5, 0.3, 0.2, 0.1, 0.05, 0.05], [1, 1.05, 1.05, 1, 0.9, 0.15, 0.1]),
-    "office": ([0.02] * 7 + [0.5, 1.8, 2.4, 2.4, 2.2, 1.4, 2.0, 2.3, 2.2, 1.8, 0.8, 0.2] + [0.05] * 5, [1, 1, 1, 1, 0.9, 0.03, 0.02]),
-    "retail": ([0.1] * 6 + [0.2, 0.4, 0.8, 1.2, 1.6, 1.9, 2.1, 1.9, 1.7, 1.7, 1.8, 2.1, 2.2, 1.9, 1.4, 0.9, 0.5, 0.2], [0.9, 0.9, 0.95, 1, 1.2, 1.5, 1.2]),
-    "evening": ([0.5, 0.3, 0.2, 0.1, 0.1, 0.1, 0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1, 1, 1, 1.1, 1.3, 1.7, 2.2, 2.7, 2.8, 2.4, 1.7, 1], [0.9, 0.9, 0.95, 1, 1.2, 1.3, 1.2]),
-    "always_on": ([0.8, 0.75, 0.7, 0.7, 0.7, 0.75, 0.85, 0.95, 1.05, 1.1, 1.15, 1.15, 1.15, 1.15, 1.15, 1.15, 1.15, 1.15, 1.15, 1.1, 1.05, 1, 0.9, 0.85], [1] * 7),
+    "flat": (FLAT_DAY, FLAT_WEEK),
+    "business_hours": (OFFICE_DAY, BUSINESS_WEEK),
+    "office": (OFFICE_DAY, BUSINESS_WEEK),
+    "retail": (EVENING_DAY, RETAIL_WEEK),
+    "evening": (EVENING_DAY, FLAT_WEEK),
+    "always_on": (FLAT_DAY, FLAT_WEEK),
 }
+#: Up to so many hours a timeline is hourly, beyond it daily.
+MOST_HOURS = 24 * 366 * 3
 MONTHS = "january february march april may june july august september october november december".split()
 
 
 class Timeline:
-    """Hourly buckets (daily beyond three years) with weights, and the inverse of their running sum."""
+    """Hourly buckets (daily beyond three years) with weights, and the inverse of their running sum.
+
+    A bucket weighs its hour and weekday by shape, times its month, its holiday's weight, the
+    trend (`growth` is the last bucket's factor against the first) and every spike that
+    holds its day, the spike's last day included. A daily bucket is its 24 hours' sum."""
 
     def __init__(self, spec: dict[str, Any]):
         self.start = _time(spec.get("start", "2026-01-01"))
         self.end = _time(spec["end"]) if spec.get("end") else self.start + dt.timedelta(days=365)
         if self.end <= self.start:
             raise ValueError("a timeline must end after it starts")
-        self.shape = str(spec.get("shape", "flat"))
+        self.shape = str(spec.get("shape") or "flat").lower()
         if self.shape not in SHAPES:
             raise ValueError(f"unknown shape {self.shape!r}; known: {', '.join(SHAPES)}")
         self.seconds = (self.end - self.start).total_seconds()
-        self.bucket = 3600.0 if self.seconds <= 3 * 366 * 86400 else 86400.0
+        hourly = (int(self.seconds // 3600) or 1) <= MOST_HOURS
+        self.bucket = 3600.0 if hourly else 86400.0
         n = max(1, math.ceil(self.seconds / self.bucket))
-        at = [self.start + dt.timedelta(seconds=self.bucket * i) for i in range(n)]
-        hours, days = SHAPES[self.shape]
-        months = {self._month(k): float(v) for k, v in (spec.get("months") or {}).items()}
-        holidays = {_time(h).date() for h in spec.get("holidays") or []}
-        holiday_weight, growth = float(spec.get("holiday_weight", 0.2)), float(spec.get("growth", 0))
-        spikes = [(_time(s["start"]), _time(s["end"]), float(s.get("multiplier", s.get("weight", 2)))) for s in spec.get("spikes") or []]
-        w = []
-        for i, t in enumerate(at):
-            x = days[t.weekday()] * (hours[t.hour] if self.bucket == 3600 else 1) * months.get(t.month, 1.0)
-            x *= holiday_weight if t.date() in holidays else 1
-            for a, b, m in spikes:
-                x *= m if a <= t < b else 1
-            w.append(x * (1 + growth * i / n))
-        self.weights = np.array(w)
+        at = pd.Series(pd.date_range(self.start, periods=n, freq=pd.Timedelta(seconds=self.bucket)))
+        hours, days = (np.array(x) for x in SHAPES[self.shape])
+        by_month = np.ones(13)
+        for k, v in (spec.get("months") or {}).items():
+            by_month[self._month(k)] = float(v)
+        w = days[at.dt.weekday] * (hours[at.dt.hour] if hourly else hours.sum()) * by_month[at.dt.month]
+        day = at.dt.normalize()
+        holidays = [pd.Timestamp(_time(h).date()) for h in spec.get("holidays") or []]
+        w = w * np.where(day.isin(holidays), max(0.0, float(spec.get("holiday_weight", 0.0))), 1.0)
+        w = w * (1 + (float(spec.get("growth", 1.0)) - 1) * np.arange(n) / max(1, n - 1))
+        for spike in spec.get("spikes") or []:
+            first, last = (pd.Timestamp(_time(x).date()) for x in (spike["start"], spike.get("end", spike["start"])))
+            w = w * np.where((day >= first) & (day <= last), float(spike.get("multiplier", 2.0)), 1.0)
+        self.weights = np.maximum(w, 0.0)
         if self.weights.sum() <= 0:
             self.weights = np.ones(n)
         self.cumulative = np.concatenate([[0], np.cumsum(self.weights)]) / self.weights.sum()
@@ -339,3 +382,8 @@ def overlay(df: DataFrame, scenarios: list[Scenario], entity: str, name: str, ph
                 kind = schema[f].dataType
                 changes[f] = F.when(test, x.cast(kind)).otherwise(changes.get(f, F.col(f"`{f}`")))
     return df.withColumns(changes) if changes else df
+
+
+def scenario_report(df: DataFrame, name: str = "_scenario_name", phase: str = "_scenario_phase", subject: str = "_subject") -> DataFrame:
+    """(scenario, phase, records, subjects) of what scenarios touched."""
+    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("scenario"), F.col(phase).alias("phase")).agg(F.count(F.lit(1)).alias("records"), F.countDistinct(subject).alias("subjects"))

@@ -88,12 +88,20 @@ def assertions(df: DataFrame, sources: Iterable[str], damaged: str | None = None
 
 
 # ---------------------------------------------------------------- across rows
-def repeats(df: DataFrame, key: str | list[str], order: str | list[str]) -> Column:
-    """True for the second and later rows of a value; null keys don't count."""
-    keys = [key] if isinstance(key, str) else key
-    w = Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return known & (F.row_number().over(w) > 1)
+def with_repeats(df: DataFrame, keys: list[str | Column], order: str, name: str) -> DataFrame:
+    """df with `name`, true for the second and later rows of a value by `order`; null keys don't count.
+
+    Firsts are a combined minimum of the values that occur again, joined back, so a hot value
+    is a skewed join and not a window in one task. Nulls are dealt by their order. Rows of one
+    value and one order are told apart among themselves."""
+    named = {f"__key{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)}
+    rows = df.withColumns(named)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in named])
+    rows = rows.withColumn("__salt", F.when(known, F.lit(0).cast("long")).otherwise(F.xxhash64(order)))
+    again = rows.where(known).groupBy(*named).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__salt", F.lit(0).cast("long")).drop("__n")
+    joined = rows.join(again, [*named, "__salt"], "left")
+    alike = F.when(F.col("__first").isNotNull(), F.row_number().over(Window.partitionBy(*named, "__salt", order).orderBy(F.lit(0)))).otherwise(1)
+    return joined.withColumn(name, F.coalesce((F.col(order) > F.col("__first")) | (alike > 1), F.lit(False))).drop(*named, "__salt", "__first")
 
 
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:

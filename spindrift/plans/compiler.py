@@ -247,7 +247,10 @@ class Project:
         kind = spark_type(f.type, f.spec.constraints.get("precision"))
         if f.spec.transform:
             x, _ = tf.apply(x.cast(kind), kind, f.spec.transform)
-        if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        if isinstance(kind, T.DayTimeIntervalType):  # seconds, or an interval's own text
+            text = x.cast("string")
+            x = F.coalesce(F.make_dt_interval(secs=text.try_cast("decimal(18,6)")), text.try_cast(kind))
+        elif not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             x = x.cast(kind)
         if f.spec.null_probability > 0:
             x = F.when(self.draws(entity, f.spec.name, index, namespace).u("null") >= f.spec.null_probability, x)
@@ -260,7 +263,7 @@ class Project:
         end = min(e.spec.count, start + (e.spec.count if count is None else count))
         sim: dict[str, Column] = {}
         if e.subject:
-            df = self._events(e).where(F.col("_index").between(start, end - 1))
+            df = self._events(e, start, end)
             index, q = F.col("_index"), simulation.quantile(F.col("_ordinal"), F.col("_total"))
             sim = simulation.scenario_columns(self.scenarios, name, F.col("_subject"), q, self.seed_of(name), self.mode)
             marks = {f"_{k.replace('.', '_')}": v for k, v in sim.items()}
@@ -292,11 +295,11 @@ class Project:
         keep = [F.col("_index"), *([F.col(c) for c in df.columns if c in ("_subject", "_ordinal", "_total", "_scenario_name", "_scenario_phase")] if hidden else []), *keep]
         return df.select(*keep) if hidden else df.select(*keep[0:1], *keep[1:])
 
-    def _events(self, e: CompiledEntity) -> DataFrame:
+    def _events(self, e: CompiledEntity, start: int, end: int) -> DataFrame:
         sim, n = e.spec.simulation, self.entities[e.subject].spec.count
         subjects = self.spark.range(n).withColumnRenamed("id", "_s")
         allocated = simulation.allocate(subjects, "_s", n, e.spec.count, str(sim.get("distribution", "uniform")), float(sim.get("skew", 1.5)), int(sim.get("minimum", 0)))
-        return simulation.events_of(allocated, "_s").select(F.col("index").alias("_index"), F.col("subject").alias("_subject"), F.col("ordinal").alias("_ordinal"), F.col("total").alias("_total"))
+        return simulation.events_of(allocated, "_s", start, end).select(F.col("index").alias("_index"), F.col("subject").alias("_subject"), F.col("ordinal").alias("_ordinal"), F.col("total").alias("_total"))
 
     def _with_indexes(self, e: CompiledEntity, df: DataFrame, index: Column, namespace: str | None) -> tuple[DataFrame, dict[tuple[str, str], str]]:
         refs = {f"_ref_{n}": self._reference_index(e, f, index, namespace) for n, f in e.fields.items() if f.generator == "reference"}
@@ -372,7 +375,7 @@ class Project:
     def _edge_plan(self, e: CompiledEntity, index: Column):
         if self.spec.edge_cases <= 0:
             return None
-        cases = {n: chaos.cases(f.type, f.spec.constraints) for n, f in e.fields.items() if n not in e.protected}
+        cases = {n: chaos.cases(f.type, f.spec.constraints, self.spec.edge_categories, f.options) for n, f in e.fields.items() if n not in e.protected and f.generator != "reference" and (not self.spec.edge_fields or n in self.spec.edge_fields)}
         cases = {n: c for n, c in cases.items() if c}
         return (chaos.edge_plan(e.spec.name, index, self.seed_of(e.spec.name), self.spec.edge_cases, {n: len(c) for n, c in cases.items()}, self.mode), cases) if cases else None
 
@@ -437,7 +440,7 @@ class Project:
         copy = F.map_contains_key("_chaos", F.lit("@duplicate")) if log else F.lit(False)
         for n in unique:
             issue = F.array(F.struct(F.lit(n).alias("field"), F.lit("uniqueness").alias("category"), F.lit("repeated").alias("message"), F.lit("error").alias("severity")))
-            df = df.withColumn("_r", validation.repeats(df, n, "_index")).withColumn("_issues", F.when(F.col("_r") & ~copy, F.concat("_issues", issue)).otherwise(F.col("_issues"))).drop("_r")
+            df = validation.with_repeats(df, [n], "_index", "_r").withColumn("_issues", F.when(F.col("_r") & ~copy, F.concat("_issues", issue)).otherwise(F.col("_issues"))).drop("_r")
         return df
 
     def quality(self, name: str) -> DataFrame:
@@ -453,6 +456,10 @@ class Project:
                 out = r if out is None else out.union(r)
         return out
 
+    def scenario_report(self, name: str) -> DataFrame:
+        """(scenario, phase, records, subjects) of a simulated entity."""
+        return simulation.scenario_report(self.frame(name, hidden=True))
+
     def schema_hash(self) -> str:
         return hashlib.sha256(json.dumps(self.spec.raw, sort_keys=True, default=str).encode()).hexdigest()[:16]
 

@@ -35,6 +35,8 @@ def recommend(name: str, type_name: str | None, constraints: dict[str, Any], pri
         return "datetime", {}, "the name ends like a time"
     if tail in NAMES:
         return "faker", {"provider": NAMES[tail]}, "the name's end says it"
+    if type_name == "duration":
+        return "distribution", {"distribution": "uniform", "min": 0, "max": 86_400}, "seconds of a day"
     if type_name == "cidr":
         return "constant", {"value": "192.0.2.0/24"}, "a documentation network"
     if type_name == "geo_point":

@@ -4,6 +4,7 @@ unknown keys of a field are options of its generator."""
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -46,10 +47,11 @@ class FieldSpec:
         constraints = dict(raw.get("constraints") or {})
         if extra := set(constraints) - CONSTRAINT_KEYS:
             raise SpecError(f"{name}: unknown constraints {sorted(extra)}")
+        g = raw.get("generator")
         for k in CONSTRAINT_KEYS & set(raw):
-            constraints.setdefault(k, raw[k])
+            if (k, g) != ("pattern", "pattern"):  # what a pattern generator fills in is no expression to match
+                constraints.setdefault(k, raw[k])
             options.setdefault(k, raw[k])
-        g = raw.get("generator")
         kind = None
         if isinstance(g, str):
             kind = g
@@ -119,13 +121,15 @@ class ProjectSpec:
     privacy: dict[str, Any] = field(default_factory=dict)
     providers: dict[str, Any] = field(default_factory=dict)
     edge_cases: float = 0.0
+    edge_categories: list[str] | None = None
+    edge_fields: list[str] | None = None
     raw: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, raw: dict[str, Any]) -> ProjectSpec:
+    def of(cls, raw: dict[str, Any], folder: str | None = None) -> ProjectSpec:
         from spindrift.plans.recipes import expand
 
-        raw = expand(dict(raw))
+        raw = dict(expand(raw, folder))
         meta = raw.pop("project", {}) or {}
         meta = {"name": meta} if isinstance(meta, str) else dict(meta)
         for k in ("name", "seed", "profile", "provenance", "version", "locale"):
@@ -140,6 +144,7 @@ class ProjectSpec:
         chaos = raw.get("chaos") or {}
         chaos = {"preset": chaos} if isinstance(chaos, str) else dict(chaos)
         edges = raw.get("edge_cases") or 0
+        chosen = edges if isinstance(edges, dict) else {}
         edges = float(edges.get("fraction", 0.05)) if isinstance(edges, dict) else float(edges)
         if profile == "maximum_chaos":
             chaos.setdefault("preset", "hostile_qa")
@@ -148,7 +153,7 @@ class ProjectSpec:
         scenarios = {s["name"]: s for s in scenarios} if isinstance(scenarios, list) else dict(scenarios)
         return cls(
             meta.get("name", "project"), meta.get("seed", 0), profile, provenance, str(meta.get("version", "1")), {k: EntitySpec.of(k, v or {}) for k, v in (raw.get("entities") or {}).items()},
-            list(raw.get("relationships") or []), raw.get("timeline"), scenarios, chaos, list(raw.get("patches") or []), dict(raw.get("outputs") or {}), dict(raw.get("quality") or {}), dict(raw.get("privacy") or {}), dict(raw.get("providers") or {}), edges, raw,
+            list(raw.get("relationships") or []), raw.get("timeline"), scenarios, chaos, list(raw.get("patches") or []), dict(raw.get("outputs") or {}), dict(raw.get("quality") or {}), dict(raw.get("privacy") or {}), dict(raw.get("providers") or {}), edges, chosen.get("categories"), chosen.get("fields"), raw,
         )
 
 
@@ -156,7 +161,7 @@ def load(path: str) -> ProjectSpec:
     with open(path, encoding="utf-8") as f:
         text = f.read()
     if path.endswith(".json"):
-        return ProjectSpec.of(json.loads(text))
+        return ProjectSpec.of(json.loads(text), os.path.dirname(os.path.abspath(path)))
     import yaml
 
-    return ProjectSpec.of(yaml.safe_load(text) or {})
+    return ProjectSpec.of(yaml.safe_load(text) or {}, os.path.dirname(os.path.abspath(path)))

@@ -90,7 +90,7 @@ def op_title(spark, d):
 @query("SELECT s_suppkey, round_even(s_acctbal::DECIMAL(18,2), 0)::BIGINT AS even FROM supplier")
 def op_round_even(spark, d):
     df = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(18,2)").alias("x"))
-    return df.select("s_suppkey", F.bround("x", 0).cast("long").alias("even"))
+    return _op(df, "s_suppkey", "x", {"even": "round:0"}).withColumn("even", F.col("even").cast("long"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, strftime(o_orderdate, '%d/%m/%Y') AS dmy, year(o_orderdate)::BIGINT AS y, month(o_orderdate)::BIGINT AS m, day(o_orderdate)::BIGINT AS dd FROM orders")
@@ -109,9 +109,11 @@ def op_noise(spark, d):
     return _op(table(spark, d, "customer"), "c_custkey", "c_nationkey", {"noisy": "noise:5"})
 
 
-@query("SELECT n_nationkey, trim(regexp_replace(n_name, '\\s+', ' ', 'g')) AS norm, n_name AS back FROM nation")
+@query("SELECT n_nationkey, trim(regexp_replace(n_name, '\\s+', ' ', 'g')) || ' fi e' || chr(769) AS norm, 'e' || chr(769) AS composed, 'ﬁ' || n_name AS back FROM nation".replace("' fi e' || chr(769)", "' fi é'").replace("'e' || chr(769) AS composed", "'é' AS composed"))
 def op_normalize_compress(spark, d):
-    return _op(table(spark, d, "nation"), "n_nationkey", "n_name", {"norm": "normalize", "back": "compress:9|decompress"})
+    df = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit("  ﬁ 	 é ")).alias("x"), F.lit("é").alias("y"), F.concat(F.lit("ﬁ"), "n_name").alias("z"))
+    made = _op(df, "n_nationkey", "x", {"norm": "normalize"}).join(_op(df, "n_nationkey", "y", {"composed": "normalize"}), "n_nationkey")
+    return made.join(_op(df, "n_nationkey", "z", {"back": "compress:9|decompress"}), "n_nationkey")
 
 
 # ---------------------------------------------------------------- expressions
@@ -208,7 +210,11 @@ def gen_template_expression(spark, d):
 
 @query(f"SELECT o_orderkey, CASE WHEN {u_sql('o_orderkey', 'q', 'null')} >= 0.05 THEN o_orderpriority END AS q FROM orders")
 def gen_null_injection(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.when(draws("o_orderkey", "q").u("null") >= 0.05, F.col("o_orderpriority")).alias("q"))
+    from spindrift.plans.compiler import Project
+
+    p = Project({"project": {"seed": 7}, "entities": {"e": {"fields": {"q": {"type": "string", "generator": "constant", "null_probability": 0.05}}}}}, spark, PORTABLE)
+    done = p._finished(p.entities["e"].fields["q"], F.col("o_orderpriority"), "e", F.col("o_orderkey"), None)
+    return table(spark, d, "orders").select("o_orderkey", done.col.alias("q"))
 
 
 _HEX = "md5('7|e|' || c_custkey || '|g|uuid')"
@@ -292,7 +298,7 @@ def alloc_skewed(spark, d):
     return _alloc(spark, d, "skewed")
 
 
-@query()
+@query(SQL["alloc_skewed"].join(["WITH a AS (", ") SELECT avg(count)::DOUBLE AS mean, max(count)::BIGINT AS max, min(count)::BIGINT AS min, ((SELECT sum(count) FROM (SELECT count FROM a ORDER BY count DESC LIMIT (SELECT greatest(1, count(*) // 10) FROM a))) / sum(count))::DOUBLE AS top_decile FROM a"]))
 def alloc_skewed_report(spark, d):
     n = table(spark, d, "supplier").count()
     return simulation.allocation_report(_alloc(spark, d, "skewed"), n)
@@ -339,17 +345,34 @@ def scenario_overlay(spark, d):
 @query("""WITH b AS (SELECT unnest(range(0, 30 * 24)) AS bucket), w AS (SELECT bucket, CASE WHEN (bucket // 24) % 7 IN (2, 3) THEN 2.0 ELSE 1.0 END AS weight FROM b)
 SELECT bucket, weight::DOUBLE AS weight, round(sum(weight) OVER (ORDER BY bucket) / sum(weight) OVER (), 9)::DOUBLE AS cumulative FROM w""")
 def timeline_cdf(spark, d):
-    # 2026-01-01 is a Thursday: days 2 and 3 of each week are its weekend
-    t = simulation.Timeline({"start": "2026-01-01", "end": "2026-01-31", "shape": "flat", "spikes": [{"start": f"2026-01-{x:02d}", "end": f"2026-01-{x + 2:02d}", "multiplier": 2} for x in (3, 10, 17, 24)]})
+    # 2026-01-01 is a Thursday: days 2 and 3 of each week are its weekend; a spike holds its last day
+    t = simulation.Timeline({"start": "2026-01-01", "end": "2026-01-31", "shape": "flat", "spikes": [{"start": f"2026-01-{x:02d}", "end": f"2026-01-{x + 1:02d}", "multiplier": 2} for x in (3, 10, 17, 24)]})
     return t.buckets(spark).select("bucket", "weight", F.round("cumulative", 9).alias("cumulative"))
 
 
-@query()
+# the weights of a shape stand in the SQL as the documentation gives them, not as the engine has them
+_OFFICE_SQL = "[0.02,0.01,0.01,0.01,0.02,0.05,0.15,0.45,0.95,1.00,1.00,0.95,0.70,0.90,1.00,0.95,0.85,0.55,0.25,0.15,0.10,0.07,0.05,0.03]"
+_WEEK_SQL = "[1.0,1.05,1.05,1.0,0.9,0.12,0.08]"
+
+
+@query(f"""WITH b AS (SELECT i AS bucket, TIMESTAMP '2026-01-01' + to_hours(i) AS t FROM (SELECT unnest(range(0, 90 * 24)) AS i))
+SELECT bucket, round(list_extract({_OFFICE_SQL}, hour(t) + 1)::DOUBLE * list_extract({_WEEK_SQL}, isodow(t))::DOUBLE * CASE month(t) WHEN 3 THEN 2.5 ELSE 1.0 END * CASE WHEN t::DATE IN (DATE '2026-01-06', DATE '2026-02-16') THEN 0.0 ELSE 1.0 END * (1 + (2.0 - 1) * bucket / (90 * 24 - 1)), 9)::DOUBLE AS weight FROM b""")
+def timeline_growth_holidays(spark, d):
+    t = simulation.Timeline({"start": "2026-01-01", "end": "2026-04-01", "shape": "office", "growth": 2.0, "months": {"march": 2.5}, "holidays": ["2026-01-06", "2026-02-16"]})
+    return t.buckets(spark).select("bucket", F.round("weight", 9).alias("weight"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+b AS (SELECT i, TIMESTAMP '2026-01-01' + to_hours(i) AS t FROM (SELECT unnest(range(0, 364 * 24)) AS i)),
+w AS (SELECT i, t, sum(list_extract({_OFFICE_SQL}, hour(t) + 1)::DOUBLE * list_extract({_WEEK_SQL}, isodow(t))::DOUBLE) OVER (ORDER BY i) / sum(list_extract({_OFFICE_SQL}, hour(t) + 1)::DOUBLE * list_extract({_WEEK_SQL}, isodow(t))::DOUBLE) OVER () AS c FROM b),
+q AS (SELECT *, (k + {u_sql('event_id', 'at', 'jitter')} * 0.8) / n AS q FROM e)
+SELECT event_id, user_id, k, hour_of FROM (SELECT event_id, user_id, k, (SELECT min(t) FROM w WHERE c >= q.q) AS hour_of FROM q)""")
 def timeline_ordered(spark, d):
     t = simulation.Timeline({"start": "2026-01-01", "end": "2026-12-31", "shape": "office"})
     w = Window.partitionBy("user_id")
     e = table(spark, d, "events").withColumn("k", F.row_number().over(w.orderBy("ts", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return e.select("event_id", "user_id", "k", t.ordered(F.col("k"), F.col("n"), 0.8, draws("event_id", "at")).alias("at"))
+    at = t.ordered(F.col("k"), F.col("n"), 0.8, draws("event_id", "at"))
+    return e.select("event_id", "user_id", F.col("k").cast("long").alias("k"), F.date_trunc("HOUR", at).cast("timestamp_ntz").alias("hour_of"))
 
 
 # ---------------------------------------------------------------- damage
@@ -375,6 +398,67 @@ def chaos_orphans(spark, d):
     return chaos.damage(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "e", "c_custkey", 7, {"referential_anomalies": 0.3}, mode=PORTABLE).drop("_chaos")
 
 
+_U = lambda k, kind: _chaos_sql(kind, k)
+_AT = f"floor({_U('at', 'malformed_text')} * greatest(length(x), 1))::INT"
+_SWAP = f"greatest(least({_AT}, length(x) - 2), 0)"
+_BLANKS = f"repeat(' ', floor({_U('blanks', 'malformed_text')} * 3)::INT + 1)"
+_TWICE = f"substr(x, 1, {_AT} + 1) || substr(x, {_AT} + 1)"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {_U('hit', 'malformed_text')} < 0.7 THEN CASE floor({_U('defect', 'malformed_text')} * 10)::INT
+ WHEN 0 THEN regexp_replace(x, '^([^ ]*) ', '\\1  ') WHEN 1 THEN x || {_BLANKS} WHEN 2 THEN {_BLANKS} || x WHEN 3 THEN upper(x) WHEN 4 THEN lower(x)
+ WHEN 5 THEN CASE WHEN length(x) > 1 THEN substr(x, 1, {_SWAP}) || substr(x, {_SWAP} + 2, 1) || substr(x, {_SWAP} + 1, 1) || substr(x, {_SWAP} + 3) ELSE {_TWICE} END
+ WHEN 6 THEN substr(x, 1, {_AT}) || substr(x, {_AT} + 2) WHEN 7 THEN {_TWICE}
+ WHEN 8 THEN CASE WHEN length(x) > 3 THEN substr(x, 1, greatest(length(x) - (floor({_U('cut', 'malformed_text')} * greatest(length(x) // 3, 1))::INT + 1), 1)) ELSE {_TWICE} END
+ ELSE regexp_replace(x, '^([^ ]*) ', '\\1' || chr(9)) END ELSE x END AS x FROM (SELECT c_custkey, c_mktsegment || ' ' || c_name AS x FROM customer)""")
+def chaos_malformed(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("x"))
+    return chaos.damage(df, "e", "c_custkey", 7, {"malformed_text": 0.7}, mode=PORTABLE).drop("_chaos")
+
+
+_PUT = f"floor({_U('at', 'unexpected_unicode')} * (length(c_name) + 1))::INT"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {_U('hit', 'unexpected_unicode')} < 0.7 THEN substr(c_name, 1, {_PUT}) || chr([8203, 8207, 769, 65279, 233, 128578, 223, 160][1 + floor({_U('gremlin', 'unexpected_unicode')} * 8)::INT]) || substr(c_name, {_PUT} + 1) ELSE c_name END AS c_name FROM customer""")
+def chaos_unicode(spark, d):
+    return chaos.damage(table(spark, d, "customer").select("c_custkey", "c_name"), "e", "c_custkey", 7, {"unexpected_unicode": 0.7}, mode=PORTABLE).drop("_chaos")
+
+
+_WHICH, _DAYS = u_sql("o_orderkey", "chaos.temporal_anomalies", "which"), u_sql("o_orderkey", "chaos.temporal_anomalies", "days")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN {u_sql('o_orderkey', 'chaos.temporal_anomalies', 'hit')} >= 0.6 THEN strftime(x, '%Y-%m-%d')
+ WHEN {_WHICH} < 0.4 THEN strftime((x + to_days(400 + floor({_DAYS} * 3601)::INT))::DATE, '%Y-%m-%d') WHEN {_WHICH} < 0.7 THEN strftime((x - to_days(4000 + floor({_DAYS} * 36001)::INT))::DATE, '%Y-%m-%d')
+ ELSE CASE floor({u_sql('o_orderkey', 'chaos.temporal_anomalies', 'notation')} * 5)::INT WHEN 0 THEN strftime(x, '%d/%m/%Y') WHEN 1 THEN strftime(x, '%m-%d-%Y') WHEN 2 THEN strftime(x, '%Y%m%d') WHEN 3 THEN strftime(x, '%d %b %Y') ELSE strftime(x, '%a %b %d %H:%M:%S %Y') END END AS x FROM (SELECT o_orderkey, o_orderdate::DATE AS x FROM orders)""")
+def chaos_temporal(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("x"))
+    return chaos.damage(df, "e", "o_orderkey", 7, {"temporal_anomalies": 0.6}, mode=PORTABLE, as_text=True).drop("_chaos")
+
+
+@query("""SELECT * FROM (VALUES ('realistic', 'outliers', 0.005), ('realistic', 'missing_data', 0.02), ('realistic', 'duplicates', 0.001), ('realistic', 'malformed_text', 0.004), ('realistic', 'unexpected_unicode', 0.001), ('realistic', 'temporal_anomalies', 0.0005), ('realistic', 'referential_anomalies', 0.0),
+ ('messy', 'outliers', 0.02), ('messy', 'missing_data', 0.06), ('messy', 'duplicates', 0.01), ('messy', 'malformed_text', 0.03), ('messy', 'unexpected_unicode', 0.01), ('messy', 'temporal_anomalies', 0.005), ('messy', 'referential_anomalies', 0.002),
+ ('hostile_qa', 'outliers', 0.05), ('hostile_qa', 'missing_data', 0.1), ('hostile_qa', 'duplicates', 0.02), ('hostile_qa', 'malformed_text', 0.08), ('hostile_qa', 'unexpected_unicode', 0.05), ('hostile_qa', 'temporal_anomalies', 0.02), ('hostile_qa', 'referential_anomalies', 0.01),
+ ('absolute', 'outliers', 0.15), ('absolute', 'missing_data', 0.2), ('absolute', 'duplicates', 0.05), ('absolute', 'malformed_text', 0.2), ('absolute', 'unexpected_unicode', 0.15), ('absolute', 'temporal_anomalies', 0.08), ('absolute', 'referential_anomalies', 0.05)) t(preset, kind, rate)""".replace("SELECT *", "SELECT preset, kind, rate::DOUBLE AS rate"))
+def chaos_presets(spark, d):
+    rows = [(p, k, r) for p in ("realistic", "messy", "hostile_qa", "absolute") for k, r in chaos.rates(p).items()]
+    return spark.createDataFrame(rows, "preset string, kind string, rate double")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, o_orderkey % 100 / 100.0 AS q FROM orders)
+SELECT o_orderkey, CASE WHEN q BETWEEN 0.2 AND 0.6 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, CASE WHEN q BETWEEN 0.2 AND 0.4 THEN 'X' WHEN q BETWEEN 0.2 AND 0.6 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus FROM s""")
+def scenario_effects(spark, d):
+    s = [simulation.Scenario("sale", {"window": [0.2, 0.6], "effects": {"o_totalprice": "=round(o_totalprice * 2, 2)", "o_orderstatus": "Y"}, "phases": {"first": {"window": [0.2, 0.4], "effects": {"o_orderstatus": "X"}}}})]
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    c = simulation.scenario_columns(s, "e", F.col("o_orderkey"), F.col("o_orderkey") % 100 / F.lit(100.0), 7, PORTABLE)
+    df = df.withColumns({"_s": c["scenario.name"], "_p": c["scenario.phase"]})
+    return simulation.overlay(df, s, "e", "_s", "_p", lambda label: draws("o_orderkey", label)).select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query("""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[^0-9-]+'), lambda s: regexp_full_match(s, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND s[1:3] NOT IN ('000', '666') AND s[1:1] <> '9' AND s[5:6] <> '00' AND s[8:11] <> '0000')) > 0 AS ssn FROM documents""")
+def privacy_ssn(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(validation.issuable_ssn(F.col("text")), F.lit(False)).alias("ssn"))
+
+
 @query()
 def chaos_all(spark, d):
     df = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
@@ -410,8 +494,7 @@ def val_constraints(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k > 1")
 def val_unique(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return df.withColumn("r", validation.repeats(df, ["h", "text"], "doc_id")).where("r").select("doc_id")
+    return validation.with_repeats(table(spark, d, "documents"), [F.sha2("text", 256)], "doc_id", "r").where("r").select("doc_id")
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT * FROM (VALUES ('1-URGENT', 0.3), ('2-HIGH', 0.2), ('3-MEDIUM', 0.2), ('4-NOT SPECIFIED', 0.2), ('5-LOW', 0.1)) t(value, want)),
@@ -431,7 +514,9 @@ def val_structural(spark, d):
 
     tail = F.when(F.col("event_id") % 3 == 0, ".0").when(F.col("event_id") % 3 == 1, ".5").otherwise("")
     df = table(spark, d, "events").select("event_id", F.concat(F.round("value", 0).cast("long").cast("string"), tail).alias("v"))
-    return df.select("event_id", ty.coerce(F.col("v"), "integer").alias("whole"), ty.coerce(F.col("v"), "float").alias("number"), F.coalesce(ty.coerce(F.col("v"), "integer").isNotNull(), F.lit(False)).alias("ok"))
+    whole, checks = validation.structural(F.col("v"), "v", "integer", False)
+    failed = [F.coalesce(c.fails, F.lit(False)) for c in checks if c.severity == "error"]
+    return df.select("event_id", ty.coerce(whole, "integer").alias("whole"), ty.coerce(F.col("v"), "float").alias("number"), (~(failed[0] | failed[1])).alias("ok"))
 
 
 @query("SELECT count(*) AS records, count(*) FILTER (NOT bad) AS valid, count(*) FILTER (bad) AS n_logical FROM (SELECT coalesce(NOT (o_totalprice > 1000), true) OR coalesce(NOT (o_orderstatus = 'F' OR o_totalprice < 300000), true) AS bad FROM orders)")
@@ -475,12 +560,12 @@ def quality_report(spark, d):
 # ---------------------------------------------------------------- duplicates
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k > 1")
 def dup_exact(spark, d):
-    return table(spark, d, "documents").withColumn("x", duplicates.exact("text", "doc_id")).where("x").select("doc_id")
+    return duplicates.exact(table(spark, d, "documents"), "text", "doc_id", "x").where("x").select("doc_id")
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE k > 1""")
 def dup_normalized(spark, d):
-    return table(spark, d, "documents").withColumn("x", duplicates.normalized("text", "doc_id")).where("x").select("doc_id")
+    return duplicates.normalized(table(spark, d, "documents"), "text", "doc_id", "x").where("x").select("doc_id")
 
 
 @query()

@@ -152,10 +152,10 @@ def test_specification_errors(spark):
 
 
 def test_lint_recipes_worlds(spark, tmp_path):
-    p = Project({"entities": {"user": {"count": 10, "include": ["surrogate_key", "person_name", "contact"], "fields": {"code": {"type": "string", "unique": True, "generator": {"type": "pattern", "pattern": "{0}"}, "null_probability": 0.7}}}, "empty": {"count": 0}}}, spark)
+    p = Project({"entities": {"user": {"count": 10, "recipes": ["name", "email"], "fields": {"code": {"type": "string", "unique": True, "generator": {"type": "pattern", "pattern": "{0}"}, "null_probability": 0.7}}}, "empty": {"count": 0}}}, spark)
     rules = {f.rule for f in lint(p)}
     assert {"empty-entity", "mostly-null"} <= rules
-    assert list(p.entities["user"].fields) == ["user_id", "first_name", "last_name", "email", "phone", "code"]
+    assert list(p.entities["user"].fields) == ["first_name", "last_name", "email", "code"]
     w = World.of(p, "w")
     w.save(str(tmp_path / "w.json"))
     World.load(str(tmp_path / "w.json")).check(p)
