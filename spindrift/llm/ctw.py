@@ -12,9 +12,10 @@ count in training texts. Counts are summed by key. Keys that share SPLIT context
 one group; a task takes groups from a sorted stream, a few at a time, and hands on the
 nodes of SPLIT bytes. What is above goes up a level by combined sums, and only the nodes
 of one and of no context byte (65,280 at most) are finished on the driver. Each group is
-told the nodes of its last two bytes, as a line in the probability from below. Values go
-back to the blocks that asked, and meet their texts there: no vocabulary or model is
-broadcast, and all of what is gathered grows with the corpus.
+told the nodes of its last two bytes, as a line in the probability from below. A group's
+counts are held while the blocks that ask for them stream by. Values go back to those
+blocks, and meet their texts there: no vocabulary or model is broadcast, and all of what
+is gathered grows with the corpus.
 
 Defined results: null is empty: one token, the end; rows are documents, so repeated rows
 each get a row and count each; without training texts every count is 0; an empty table
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE_LOWER, NOT_SPACE, Scratch, chunks, partitions, prefix_hash, span_hash, text_buffer, words
 
-DEPTH = 6  # context bytes; a key packs them and the byte itself in a long, so 7 is the most
+DEPTH = 5  # context bytes; a key packs them and the byte itself in a long, so 7 is the most
 SPLIT = 3  # context bytes that a group shares
 #: Keys that a task works on at once, if no group has more.
 GROUP_KEYS = 100_000
@@ -174,7 +175,7 @@ class Above:
 
 
 def _lines(upper: Upper):
-    """(code, base0, base1, slope) of nodes of two bytes from their sums (code, zeros, ones, below)."""
+    """(code, base0, base1, slope) of nodes of two bytes from their sums (code, zeros, ones, below); the numbers as the longs of the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +186,8 @@ def _lines(upper: Upper):
             context, sofar = level.code >> 8, level.code & 0xFF
             # the upper levels are linear in what comes from below, so two points give the line
             point = [[upper.mix(context, sofar, np.full(len(sofar), bool(b)), level.mix(level.code, np.full(len(sofar), bool(b)), x)) for x in (0.0, 1.0)] for b in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (level.code, point[0][0], point[1][0], point[0][1] - point[0][0])], names=["code", "base0", "base1", "slope"])
+            numbers = (point[0][0], point[1][0], point[0][1] - point[0][0])
+            yield pa.RecordBatch.from_arrays([pa.array(level.code), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in numbers)], names=["code", "base0", "base1", "slope"])
 
     return run
 
@@ -232,16 +234,82 @@ def _with_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([first(t.column("g").to_numpy(), pa.int64()), first(word, pa.bool_()), pa.array(np.concatenate([k, top.code])), first(n, pa.int64()), last(top.zeros), last(top.ones), last(top.log_pw)], names=["g", "word", "k", "n", "zeros", "ones", "below"])
 
 
-def _values(upper: Upper):
-    """(word, k, v) of each key from whole groups of keys (n) and lines of nodes above (slope)."""
+#: Kinds of rows in the stream of values, in the order in which a group has them: the three numbers of a line above, a key's count, a block that asks for a key.
+_BASE0, _BASE1, _SLOPE, _COUNT, _ASKED = range(5)
+
+
+class _Known:
+    """Values of words and keys, from whole groups of rows of every kind but the last."""
+
+    def __init__(self, g: np.ndarray, kind: np.ndarray, k: np.ndarray, x: np.ndarray, upper: Upper):
+        line = kind == _SLOPE
+        # the numbers of one line stand at the same place among their kinds
+        numbers = {}
+        for c in (_BASE0, _BASE1, _SLOPE):
+            mine = np.flatnonzero(kind == c)
+            mine = mine[np.lexsort((k[mine], g[mine]))]
+            numbers[c] = k[mine], x[mine].view(np.float64)
+        above = Above(numbers[_SLOPE][0], numbers[_BASE0][1], numbers[_BASE1][1], numbers[_SLOPE][1], upper) if line.any() else Above(*(np.zeros(0, t) for t in (np.int64, float, float, float)), upper)
+        count = kind == _COUNT
+        self.parts = []
+        for word in (False, True):
+            mine = np.flatnonzero(count & ((g < 0) == word))
+            mine = mine[np.argsort(k[mine])]
+            v = x[mine].astype(float) if word else Trees(k[mine], x[mine]).probability(k[mine], above)
+            self.parts.append((k[mine], v))
+
+    def of(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.empty(len(k))
+        for w, (known, v) in enumerate(self.parts):
+            mine = word == bool(w)
+            out[mine] = v[np.searchsorted(known, k[mine])]
+        return out
+
+
+def _told(upper: Upper):
+    """(block, word, k, v) for each block that asks, from a stream of (g, kind, k, x) sorted by g and kind.
+
+    Counts of a group are held while it lasts, what asks for them streams by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, GROUP_KEYS):
-            line = t.column("slope").is_valid().to_numpy(zero_copy_only=False)
-            k = t.column("k").to_numpy()
-            above = Above(k[line], *(t.column(c).to_numpy(zero_copy_only=False)[line].astype(float) for c in ("base0", "base1", "slope")), upper)
-            k, n = k[~line], t.column("n").to_numpy(zero_copy_only=False)[~line].astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), bool)), pa.array(k), pa.array(Trees(k, n).probability(k, above))], names=["word", "k", "v"])
+        held: list[list[np.ndarray]] = []
+        size, open_ = 0, None  # open_: (group, its values) if they are known and the group goes on
+
+        def answer(g, kind, k, x, known: _Known) -> pa.RecordBatch:
+            asks = kind == _ASKED
+            word = g[asks] < 0
+            return pa.RecordBatch.from_arrays([pa.array(x[asks].astype(np.int32)), pa.array(word), pa.array(k[asks]), pa.array(known.of(word, k[asks]))], names=["block", "word", "k", "v"])
+
+        def closed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Whole groups, but that the first may have begun before."""
+            g = rows[0]
+            if open_ is not None and len(g) and g[0] == open_[0]:
+                n = int(np.searchsorted(g, g[0], "right"))
+                yield answer(*(c[:n] for c in rows), open_[1])
+                rows = [c[n:] for c in rows]
+            if len(rows[0]):
+                yield answer(*rows, _Known(*rows, upper))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            size += batch.num_rows
+            if size < GROUP_KEYS:
+                continue
+            rows = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield from closed([c[:cut] for c in rows])
+                open_, rows = None, [c[cut:] for c in rows]
+            if len(rows[0]) >= GROUP_KEYS and rows[1][-1] == _ASKED:  # one group, all of its counts are here
+                if open_ is None:
+                    open_ = int(rows[0][0]), _Known(*rows, upper)
+                yield answer(*rows, open_[1])
+                rows = [c[:0] for c in rows]
+            held, size = [rows], len(rows[0])
+        if size:
+            yield from closed([np.concatenate([h[i] for h in held]) for i in range(4)])
 
     return run
 
@@ -298,7 +366,7 @@ def _ask(table: pa.Table) -> pa.Table:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values on their way back as a few long rows for each block: keys, and doubles (words: counts; bytes: logarithms)."""
+    """Values on their way back as a few long rows for each block: keys, and doubles (words: counts; bytes: logarithms), both compressed."""
     held: list[list[np.ndarray]] = []
     size = 0
 
@@ -368,15 +436,14 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     one = up(two.mapInArrow(_sums, node), 1)  # at most 256 * 255 rows
     upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in one.orderBy("code").collect()]))
 
-    keys = summed.where("not word").select("g", "k", "n")
-    lines = two.mapInArrow(lambda it: _lines(upper.value)(it), "code long, base0 double, base1 double, slope double").withColumn("c", F.shiftright("code", 8))
-    told_above = keys.select("g").distinct().withColumn("c", F.col("g").bitwiseAND(F.lit(0xFFFF))).join(lines, "c").select("g", F.col("code").alias("k"), F.lit(None).cast("long").alias("n"), "base0", "base1", "slope")
-    no_line = [F.lit(None).cast("double").alias(c) for c in ("base0", "base1", "slope")]
-    both = keys.select("g", "k", "n", *no_line).union(told_above).repartition(parts, "g").sortWithinPartitions("g")
-    value = both.mapInArrow(lambda it: _values(upper.value)(it), "word boolean, k long, v double")
-    value = value.union(known.select("word", "k", F.col("n").cast("double").alias("v")))
-    told = asked.drop("n").join(value, ["word", "k"]).select("block", "word", "k", "v")
-    told = scratch.save(told.mapInArrow(_pack, "block int, word boolean, m int, k binary, v binary"))
+    lines = two.mapInArrow(lambda it: _lines(upper.value)(it), "code long, base0 long, base1 long, slope long")
+    each = F.explode(F.array(*[F.struct(F.lit(kind).cast("byte").alias("kind"), F.col(c).alias("x")) for kind, c in ((_BASE0, "base0"), (_BASE1, "base1"), (_SLOPE, "slope"))])).alias("e")
+    lines = lines.select("code", each).select(F.shiftright("code", 8).alias("c"), F.col("code").alias("k"), "e.kind", "e.x")
+    counts = summed.where("g is not null")
+    above = counts.where("g >= 0").select("g").distinct().withColumn("c", F.col("g").bitwiseAND(F.lit(0xFFFF))).join(lines, "c").select("g", "kind", "k", "x")
+    stream = above.union(counts.select("g", F.lit(_COUNT).cast("byte"), "k", "n")).union(asked.select(group, F.lit(_ASKED).cast("byte"), "k", F.col("block").cast("long")))
+    stream = stream.repartition(parts, "g").sortWithinPartitions("g", "kind")
+    told = scratch.save(stream.mapInArrow(lambda it: _pack(_told(upper.value)(it)), "block int, word boolean, m int, k binary, v binary"))
     for t in (asked, summed, two):
         scratch.drop(t)
 

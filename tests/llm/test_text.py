@@ -221,7 +221,7 @@ def test_context_trees_are_distributions():
     upper = ctw.Upper(below)
     sums = np.bincount(np.searchsorted(two.code, ctw._at(top.code >> 8, 2) | (top.code & 0xFF)), weights=top.log_pw)
     lines = next(ctw._lines(upper)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in (two.code, two.zeros, two.ones, sums)], names=list("abcd"))])))
-    above = ctw.Above(*(lines.column(i).to_numpy() for i in range(4)), upper)
+    above = ctw.Above(lines.column(0).to_numpy(), *(lines.column(i).to_numpy().view(float) for i in (1, 2, 3)), upper)
     for context in (*{int(k) >> 8 for k in kinds}, 0x123456789A):
         asked = (context << 8) | np.arange(256)
         p = 10 ** ctw.Trees(kinds, n).probability(asked, above)
