@@ -116,10 +116,16 @@ def _sample(bucket: int, buckets: int):
         if not parts:
             return None
         a = np.concatenate(parts, axis=1)
-        a = a[:, np.lexsort((a[3], a[2], a[1], a[0]))]
+        with np.errstate(over="ignore"):
+            a = a[:, np.argsort(mix(a[0].view(np.uint64) + mix(a[1].view(np.uint64))))]
         new = np.ones(a.shape[1], bool)
         new[1:] = (a[:2, 1:] != a[:2, :-1]).any(0)
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        # the earliest of each context first; most have one sample
+        group, more = np.cumsum(new) - 1, ~new
+        more[:-1] |= ~new[1:]
+        i = np.flatnonzero(more)
+        a[:, i] = a[:, i[np.lexsort((a[3, i], a[2, i], group[i]))]]
+        first = np.flatnonzero(new)[group]
         later = ~new & ((a[2] != a[2, first]) | (a[3] != a[3, first]))
         doc, s, e = _merged(a[2][later], a[4][later], a[5][later])
         one, none = a[:, new], np.zeros(len(doc), np.int64)
