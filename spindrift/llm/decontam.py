@@ -30,7 +30,7 @@ WINDOW = 13
 SHARD_BYTES = 2 << 20
 #: Limits of a block of the benchmark: bytes of text, and words so that a word's number fits 16 bits; an item of more is a block of its own, with wider slots if need be.
 BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 60_000
-_WORDS = 16  # words in an order, by sort keys of 64 bits
+_WORDS = 16  # words in an order, by sort keys of 64 bits, if no window has more
 _PAIR_BITS = 22
 
 
@@ -47,6 +47,7 @@ class Block:
     owner_at: np.ndarray
     pairs: np.ndarray | None  # which hashed word pairs occur; None if a window has one word
     bits: int  # of a word's number in a sort key
+    depth: int  # words in an order
 
     @classmethod
     def build(cls, names: list[str], texts: list[str | None], window: int) -> Block:
@@ -59,8 +60,8 @@ class Block:
         left = (np.cumsum(count) - 0)[of] - np.arange(len(of))
         wide = np.minimum(count, window)[of]
         at = np.flatnonzero(left >= wide)
-        bits = 16 if len(vocabulary) < 1 << 16 else 32
-        keys = key_levels(ids, left, at, np.minimum(wide, left)[at], bits)
+        bits, depth = 16 if len(vocabulary) < 1 << 16 else 32, max(_WORDS, window)
+        keys = key_levels(ids, left, at, np.minimum(wide, left)[at], bits, depth)
         order = np.lexsort((wide[at], *keys[::-1]))
         rows = np.stack([*(k[order] for k in keys), wide[at][order].astype(np.uint64)])
         new = np.ones(len(order), bool)
@@ -77,7 +78,7 @@ class Block:
             pairs = np.zeros(1 << _PAIR_BITS, bool)
             two = np.flatnonzero(left > 1)
             pairs[pair_no(ids[two], ids[two + 1])] = True
-        return cls(vocabulary, ids, left, own_name[of], list(name_no), at[order[new]], width, owner[1], starts, pairs, bits)
+        return cls(vocabulary, ids, left, own_name[of], list(name_no), at[order[new]], width, owner[1], starts, pairs, bits, depth)
 
 
 def pair_no(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,10 +86,10 @@ def pair_no(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a.astype(np.uint64) * np.uint64(65_537) + b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
 
 
-def key_levels(ids: np.ndarray, left: np.ndarray, at: np.ndarray, most: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For the suffixes at `at`, cut to `most` words, sixteen words of so many bits as sort keys; 0 stands past the end."""
+def key_levels(ids: np.ndarray, left: np.ndarray, at: np.ndarray, most: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
+    """For the suffixes at `at`, cut to `most` words, `depth` words of so many bits as sort keys; 0 stands past the end."""
     out = []
-    for level in range(0, _WORDS, 64 // bits):
+    for level in range(0, depth, 64 // bits):
         key = np.zeros(len(at), np.uint64)
         for k in range(level, level + 64 // bits):
             word = np.where(k < most, ids[np.minimum(at + k, len(ids) - 1)] if len(ids) else 0, 0)
@@ -118,7 +119,7 @@ class Shard:
             can = np.zeros(len(can), bool)
             can[i[block.pairs[pair_no(self.ids[i], self.ids[i + 1])]]] = True
         at = np.flatnonzero(can)
-        keys = key_levels(self.ids, self.left, at, self.left[at], block.bits)
+        keys = key_levels(self.ids, self.left, at, self.left[at], block.bits, block.depth)
         order = np.lexsort(keys[::-1])
         self.suffixes = at[order]
         self.keys = [k[order] for k in keys]
@@ -134,9 +135,9 @@ class Shard:
         return lo
 
     def find(self, block: Block, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of suffixes that begin with the first `width` (sixteen at most) words at `at`."""
+        """The ranges of suffixes that begin with the first `width` (block.depth at most) words at `at`."""
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes), np.int64)
-        want, each = key_levels(block.ids, block.left, at, width, block.bits), 64 // block.bits
+        want, each = key_levels(block.ids, block.left, at, width, block.bits, block.depth), 64 // block.bits
         for level, keys in enumerate(self.keys):
             here = np.clip(width - level * each, 0, each)
             if not (here > 0).any() or not len(keys):
@@ -161,7 +162,7 @@ class Shard:
         """(word of the benchmark, word of the shard, words) of the longest verbatim matches of each benchmark suffix, at all their places, not inside a longer one's."""
         at = np.arange(len(block.ids))
         best, lo, hi = (np.zeros(len(at), np.int64) for _ in range(3))
-        for k in range(1, _WORDS + 1):
+        for k in range(1, block.depth + 1):
             live = np.flatnonzero((best == k - 1) & (block.left >= k))
             if not len(live):
                 break
@@ -171,10 +172,10 @@ class Shard:
         where = {}
         for i in np.flatnonzero(best > 0).tolist():
             where[i] = self.suffixes[lo[i] : hi[i]].tolist()
-            if best[i] == _WORDS:
+            if best[i] == block.depth:
                 length = []
                 for p in where[i]:
-                    n = _WORDS
+                    n = block.depth
                     while n < block.left[i] and n < self.left[p] and block.ids[i + n] == self.ids[p + n]:
                         n += 1
                     length.append(n)
