@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.functions.arrays import blocks, let
 from spindrift.functions.expressions import Translator, Value, columns_of, kind_of
 from spindrift.functions.hashing import Draws
 
@@ -251,9 +252,13 @@ def running_total(initial: Column, change: Column, subject: str, ordinal: str) -
     return initial + F.sum(change).over(Window.partitionBy(subject).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def fold(df: DataFrame, subject: str, ordinal: str, variables: dict[str, dict[str, Any]], prefix: str = "state.") -> DataFrame:
+def fold(df: DataFrame, subject: str, ordinal: str, variables: dict[str, dict[str, Any]], prefix: str = "state.", given: dict[str, str] | None = None) -> DataFrame:
     """State that is clamped or rounded or reads other state: one ordered pass over each subject.
 
+    A subject's history is one row while it is folded, in runs of the square root of its
+    length (see `fold_long` for histories beyond a row). given: columns with the state that
+    a subject comes with, where it isn't null, in place of the initial value.
+
     variables: name -> {initial (expression over the row), update (expression over the row,
     all variables, subject and ordinal), min, max, precision}. Variables update in order and
     see those before them updated; min, max, then half-even rounding."""
@@ -263,12 +268,14 @@ def fold(df: DataFrame, subject: str, ordinal: str, variables: dict[str, dict[st
     state = df
     for n, v in variables.items():
         init = v.get("initial", 0)
-        state = state.withColumn(f"__i_{n}", (Translator(base, None, n).value(init).col if isinstance(init, str) else F.lit(init)).cast("double"))
+        first = (Translator(base, None, n).value(init).col if isinstance(init, str) else F.lit(init)).cast("double")
+        state = state.withColumn(f"__i_{n}", F.coalesce(F.col((given or {})[n]), first) if n in (given or {}) else first)
     row = F.struct(F.col(ordinal).alias("__o"), *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`__i_{n}`") for n in names])
     grouped = state.groupBy(F.col(subject).alias("__subject")).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
     acc_type = ", ".join(f"`{n}`: double" for n in names)
     out_type = f"array<struct<{acc_type}>>"
-    zero = F.struct(F.struct(*[F.element_at("__rows", 1)[f"__i_{n}"].alias(n) for n in names]).alias("now"), F.array().cast(out_type).alias("all"))
+    none = F.array().cast(out_type)
+    start = F.struct(*[F.element_at("__rows", 1)[f"__i_{n}"].alias(n) for n in names])
 
     def step(acc: Column, r: Column) -> Column:
         cols = {f.name: Value(r[f.name], kind_of(f.dataType)) for f in schema.fields}
@@ -286,7 +293,13 @@ def fold(df: DataFrame, subject: str, ordinal: str, variables: dict[str, dict[st
         now = F.struct(*[cols[n].col.alias(n) for n in names])
         return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-    folded = grouped.select("__rows", F.aggregate("__rows", zero, step, lambda a: a["all"]).alias("__states"))
+    def of_block(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["now"].alias("now"), none.alias("all")), step)
+        return let(done, lambda d: F.struct(d["now"].alias("now"), F.concat(acc["all"], F.array(d["all"])).alias("all")))
+
+    zero = F.struct(start.alias("now"), F.array().cast(f"array<{out_type}>").alias("all"))
+    states = F.aggregate(blocks(F.col("__rows")), zero, of_block, lambda a: F.flatten(a["all"]))
+    folded = grouped.select("__rows", states.alias("__states"))
     each = folded.select(F.explode(F.arrays_zip("__rows", "__states")).alias("z"))
     return each.select(*[F.col(f"z.__rows.`{c}`").alias(c) for c in df.columns], *[F.col(f"z.__states.`{n}`").alias(f"{prefix}{n}") for n in names])
 

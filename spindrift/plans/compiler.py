@@ -379,12 +379,16 @@ class Project:
         cases = {n: c for n, c in cases.items() if c}
         return (chaos.edge_plan(e.spec.name, index, self.seed_of(e.spec.name), self.spec.edge_cases, {n: len(c) for n, c in cases.items()}, self.mode), cases) if cases else None
 
-    def _fold(self, e: CompiledEntity, df: DataFrame) -> DataFrame:
-        variables = {}
-        for n, v in e.spec.simulation["state"].items():
+    @staticmethod
+    def state_variables(e: CompiledEntity) -> dict[str, dict[str, Any]]:
+        out = {}
+        for n, v in ((e.spec.simulation or {}).get("state") or {}).items():
             v = dict(v) if isinstance(v, dict) else {"update": v}
-            variables[n] = v | {"initial": v.get("initial", v.get("start", 0))}
-        return simulation.fold(df, "_subject", "_ordinal", variables)
+            out[n] = v | {"initial": v.get("initial", v.get("start", 0))}
+        return out
+
+    def _fold(self, e: CompiledEntity, df: DataFrame) -> DataFrame:
+        return simulation.fold(df, "_subject", "_ordinal", self.state_variables(e))
 
     # ------------------------------------------------------------ whole pipeline
     def records(self, name: str, start: int = 0, count: int | None = None, damage: bool = True, patch: bool = True) -> DataFrame:

@@ -12,12 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.operators import validation
 from spindrift.operators.generators import opt
-from spindrift.operators.simulation import quantile, stream_subject  # noqa: F401
+from spindrift.operators.simulation import fold, stream_subject
 from spindrift.plans.compiler import Project
 from spindrift.streaming.rates import Bucket, parse
 from spindrift.streaming.sinks import FanOut, Sink
@@ -25,40 +26,72 @@ from spindrift.streaming.sinks import FanOut, Sink
 BATCH, IN_FLIGHT, CYCLE_SECONDS = 100, 20_000, 3600
 
 
-def projection(project: Project, entity: str, indexes: DataFrame, index: str = "_index", live: bool = True) -> DataFrame:
-    """Records of the given indexes. Times of event_time and datetime fields become now; subjects are drawn by index, so shares hold and no event is numbered twice."""
+def _after_state(project: Project, entity: str) -> set[str]:
+    """The fields that hold state, and those made from them."""
+    fields = project.entities[entity].fields
+    late = {n for n, f in fields.items() if f.generator == "state"}
+    while more := {n for n, f in fields.items() if n not in late and f.needs & late}:
+        late |= more
+    return late
+
+
+def projection(project: Project, entity: str, indexes: DataFrame, index: str = "_index", live: bool = True, known: DataFrame | None = None, hidden: bool = False) -> DataFrame:
+    """Records of the given indexes. Times of event_time and datetime fields become now; subjects are drawn by index, so shares hold and no event is numbered twice.
+
+    State is folded over the rows of each subject by index, from `known`: (_subject, _seen,
+    one column for each variable) of the subjects that had events before. hidden: keeps
+    `_subject`, `_ordinal` (events of the subject before this one) and `state.` columns."""
     e = project.entities[entity]
     at = F.col(index)
-    cols = {}
     subject = None
+    late = _after_state(project, entity)
+    variables = project.state_variables(e) if late else {}
     if e.subject:
         sim = e.spec.simulation
         subject = stream_subject(at, project.entities[e.subject].spec.count, project.draws(entity, "@subject", at), str(sim.get("distribution", "uniform")), float(sim.get("skew", 1.5)))
         indexes = indexes.withColumn("_subject", subject)
-    for n, f in e.fields.items():
-        if live and f.generator in ("event_time", "datetime") and f.type in ("datetime", "date"):
-            cols[n] = F.current_timestamp().cast("timestamp_ntz" if f.type == "datetime" else "date")
-        elif f.generator == "subject":
-            parent = project.entities[e.subject]
-            key = f.options.get("field") or parent.spec.primary_key or next(iter(parent.fields))
-            cols[n] = project.inline(e.subject, key, F.col("_subject")).col
-        elif f.generator == "scenario":
-            cols[n] = _recurring(project, entity, f, at)
-        elif f.generator in ("state",):
-            cols[n] = F.lit(None).cast("double")
-        elif e.subject and any(project._owner(e, o) for o, _ in f.parents):
-            values = {x: project.inline(entity, x, at) for x in f.needs if e.fields[x].generator not in ("subject", "event_time", "scenario", "state")}
-            from spindrift.operators.generators import GENERATORS, Context
-
-            def attribute(owner: str, attr: str):
-                target, ref = project._owner(e, owner)
-                return project.inline(target, attr, F.col("_subject") if ref is None else project._reference_index(e, ref, at, None))
-
-            c = Context(n, f.type, entity, at, project.draws(entity, n, at), T.StructType([]), f.spec.constraints, attribute, {}, project.now, project.base, project.spark, values)
-            cols[n] = project._finished(f, GENERATORS[f.generator](f.options, c), entity, at, None).col
-        else:
-            cols[n] = project.inline(entity, n, at).col
-    return indexes.select(at.alias("_index"), *[c.alias(n) for n, c in cols.items()])
+    # what updates read must be there before the fold
+    made = {n: _live_value(project, e, n, at, live) for n in e.fields if n not in late}
+    first = indexes.select(at.alias("_index"), *([F.col("_subject")] if e.subject else []), *[c.alias(n) for n, c in made.items()])
+    if not (variables or (hidden and e.subject)):
+        return first.select("_index", *e.fields)
+    names = list(variables)
+    if known is None:
+        known = project.spark.createDataFrame([], ", ".join(["_subject long", "_seen long", *[f"`{n}` double" for n in names]]))
+    past = known.select("_subject", F.col("_seen").alias("__seen"), *[F.col(f"`{n}`").alias(f"__was_{n}") for n in names])
+    met = first.join(F.broadcast(past), "_subject", "left")  # at most the rows of a micro-batch
+    rank = F.row_number().over(Window.partitionBy("_subject").orderBy("_index")) - 1
+    met = met.withColumn("_ordinal", (F.coalesce("__seen", F.lit(0)) + rank).cast("long"))
+    if names:
+        met = fold(met, "_subject", "_ordinal", variables, given={n: f"__was_{n}" for n in names})
+    sim_columns = {c: F.col(f"`{c}`") for c in met.columns if c.startswith("state.")}
+    for layer in e.layers:
+        if mine := [n for n in layer if n in late]:
+            met = met.withColumns({n: project._value(e, e.fields[n], met, F.col("_index"), sim_columns, {}, None) for n in mine})
+    return met.select("_index", *(["_subject", "_ordinal", *[F.col(f"`{c}`") for c in sim_columns]] if hidden else []), *e.fields)
+
+
+def _live_value(project: Project, e: Any, n: str, at: Column, live: bool) -> Column:
+    entity, f = e.spec.name, e.fields[n]
+    if live and f.generator in ("event_time", "datetime") and f.type in ("datetime", "date"):
+        return F.current_timestamp().cast("timestamp_ntz" if f.type == "datetime" else "date")
+    if f.generator == "subject":
+        parent = project.entities[e.subject]
+        key = f.options.get("field") or parent.spec.primary_key or next(iter(parent.fields))
+        return project.inline(e.subject, key, F.col("_subject")).col
+    if f.generator == "scenario":
+        return _recurring(project, entity, f, at)
+    if e.subject and any(project._owner(e, o) for o, _ in f.parents):
+        values = {x: project.inline(entity, x, at) for x in f.needs if e.fields[x].generator not in ("subject", "event_time", "scenario", "state")}
+        from spindrift.operators.generators import GENERATORS, Context
+
+        def attribute(owner: str, attr: str):
+            target, ref = project._owner(e, owner)
+            return project.inline(target, attr, F.col("_subject") if ref is None else project._reference_index(e, ref, at, None))
+
+        c = Context(n, f.type, entity, at, project.draws(entity, n, at), T.StructType([]), f.spec.constraints, attribute, {}, project.now, project.base, project.spark, values)
+        return project._finished(f, GENERATORS[f.generator](f.options, c), entity, at, None).col
+    return project.inline(entity, n, at).col
 
 
 def _recurring(project: Project, entity: str, f: Any, at: Column) -> Column:
@@ -76,6 +109,7 @@ class Stats:
     generated: int = 0
     delivered: int = 0
     failed: int = 0
+    invalid: int = 0
     started: float = field(default_factory=time.monotonic)
     expected: float = 0.0
     by_entity: dict[str, int] = field(default_factory=dict)
@@ -84,13 +118,26 @@ class Stats:
     def mean_rate(self) -> float:
         return self.generated / max(1e-9, time.monotonic() - self.started)
 
+    recent: list[tuple[float, int]] = field(default_factory=list)
+
+    @property
+    def current_rate(self) -> float:
+        """Records a second over the last five seconds."""
+        now = time.monotonic()
+        self.recent = [(t, n) for t, n in self.recent if now - t <= 5]
+        return sum(n for _, n in self.recent) / max(1e-9, min(5.0, now - self.started))
+
     @property
     def attainment(self) -> float:
         return self.generated / self.expected if self.expected else 1.0
 
 
 class Live:
-    def __init__(self, project: Project, rates: dict[str, str | float], sinks: list[Sink], start: dict[str, int] | None = None, on_error: str = "continue", follow_shape: bool = False, burst: float = 1.0):
+    """A paced stream. The state of subjects is carried from tick to tick on the driver, for those that had events, as a row of numbers each. validate: a policy for records that fail their checks."""
+
+    def __init__(self, project: Project, rates: dict[str, str | float], sinks: list[Sink], start: dict[str, int] | None = None, on_error: str = "continue", follow_shape: bool = False, burst: float = 1.0, validate: str | None = None):
+        self.validate = validate
+        self.state: dict[str, dict[int, tuple]] = {e: {} for e in rates}
         self.project, self.follow = project, follow_shape
         self.target = {e: parse(r) for e, r in rates.items()}
         self.buckets = {e: Bucket(r, burst) for e, r in self.target.items()}
@@ -113,13 +160,14 @@ class Live:
                 continue
             a = self.next[e]
             spark = self.project.spark
-            df = projection(self.project, e, spark.range(a, a + n, 1, max(1, min(8, n // BATCH))).withColumnRenamed("id", "_index"))
+            df = self._records(e, spark.range(a, a + n, 1, max(1, min(8, n // BATCH))).withColumnRenamed("id", "_index"))
             before = sum(s.failed for s in self.out.sinks)
             self.out(df.withColumn("_entity", F.lit(e)), self.epoch)
             self.epoch += 1
             self.next[e] += n
             sent += n
             self.stats.generated += n
+            self.stats.recent.append((time.monotonic(), n))
             bad = sum(s.failed for s in self.out.sinks) - before
             self.stats.failed += bad
             self.stats.delivered += n * len(self.out.sinks) - bad
@@ -127,6 +175,29 @@ class Live:
         self.stats.expected = sum(b.expected for b in self.buckets.values())
         return sent
 
+    def _records(self, entity: str, indexes: DataFrame) -> DataFrame:
+        """The records of one tick; moves the state of their subjects on."""
+        p, e = self.project, self.project.entities[entity]
+        names = list(p.state_variables(e))
+        if names and e.subject:
+            schema = ", ".join(["_subject long", "_seen long", *[f"`{n}` double" for n in names]])
+            sim = e.spec.simulation
+            subject = stream_subject(F.col("_index"), p.entities[e.subject].spec.count, p.draws(entity, "@subject", F.col("_index")), str(sim.get("distribution", "uniform")), float(sim.get("skew", 1.5)))
+            mine = [r[0] for r in indexes.select(subject.cast("long")).distinct().collect()]  # of one tick
+            past = self.state[entity]
+            known = p.spark.createDataFrame([(s, *past[s]) for s in mine if s in past], schema)
+            df = projection(p, entity, indexes, known=known, hidden=True)
+            last = df.groupBy("_subject").agg((F.max("_ordinal") + 1).alias("seen"), F.max_by(F.struct(*[F.col(f"`state.{n}`").alias(n) for n in names]), "_ordinal").alias("s"))
+            past |= {r._subject: (r.seen, *r.s) for r in last.collect()}
+            df = df.select("_index", *e.fields)
+        else:
+            df = projection(p, entity, indexes)
+        if self.validate:
+            df = df.withColumn("_issues", validation.issues(p.checks(entity, df)))
+            self.stats.invalid += df.where(F.exists("_issues", lambda i: i["severity"] == "error")).count()
+            df = validation.enforce(df, "_issues", self.validate)
+        return df
+
     def run(self, seconds: float | None = None, max_records: int | None = None, pause: float = 0.2, sleep: Callable[[float], None] = time.sleep) -> Stats:
         """Until the time or the number of records is reached, exactly."""
         end = None if seconds is None else time.monotonic() + seconds
@@ -141,8 +212,12 @@ def streaming(project: Project, entity: str, rate: str | float, sinks: list[Sink
     """A streaming query over Spark's rate source; its offsets are the record indexes, so a restart goes on where it stopped."""
     n = max(1, round(parse(rate)))
     source = project.spark.readStream.format("rate").option("rowsPerSecond", n).option("numPartitions", partitions).load()
-    records = projection(project, entity, source.select((F.col("value") + start).alias("_index")))
-    writer = records.writeStream.foreachBatch(FanOut(sinks)).outputMode("append")
+    out, indexes = FanOut(sinks), source.select((F.col("value") + start).alias("_index"))
+    if project.state_variables(project.entities[entity]):
+        carried = Live(project, {entity: rate}, sinks)
+        writer = indexes.writeStream.foreachBatch(lambda batch, epoch: out(carried._records(entity, batch), epoch)).outputMode("append")
+    else:
+        writer = projection(project, entity, indexes).writeStream.foreachBatch(out).outputMode("append")
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 

@@ -77,3 +77,46 @@ def test_rate_source(spark, tmp_path):
     finally:
         q.stop()
     assert {"company_id", "domain"} <= set(memory.rows[0])
+
+
+LEDGER = {
+    "project": {"name": "ledger", "seed": 5},
+    "entities": {
+        "account": {"count": 6, "fields": {"account_id": {"type": "integer", "generator": {"type": "sequence", "start": 100}, "primary_key": True}}},
+        "payment": {"count": 1000, "simulation": {"subject": "account", "distribution": "skewed", "skew": 1.5, "state": {"balance": {"initial": 50, "update": "balance + amount", "min": 0, "precision": 2}, "n": {"initial": 0, "update": "n + 1"}}}, "fields": {
+            "payment_id": {"type": "integer", "generator": "sequence"}, "account": {"generator": "subject"}, "amount": {"type": "float", "generator": {"type": "expression", "expression": "(payment_id * 37) % 300 - 140"}},
+            "balance": {"type": "float", "generator": "state"}, "n": {"type": "integer", "generator": "state"}, "rich": {"type": "boolean", "generator": {"type": "expression", "expression": "balance > 100"}}}},
+    },
+}
+
+
+def folded(rows):
+    state, out = {}, {}
+    for r in sorted(rows, key=lambda r: r["_index"]):
+        b, n = state.get(r["account"], (50, 0))
+        state[r["account"]] = out[r["_index"]] = (round(max(0, b + r["amount"]), 2), n + 1)
+    return out
+
+
+def test_a_stream_carries_the_state_of_its_subjects(spark):
+    p, memory = Project(LEDGER, spark), sinks.Memory(1000)
+    stream = live.Live(p, {"payment": "400/s"}, [memory], validate="report")
+    stats = stream.run(max_records=150, pause=0.05)
+    assert stream.epoch > 1 and stats.invalid == 0 and stats.current_rate > 0
+    want = folded(memory.rows)
+    assert len(want) == 150 and {r["_index"]: (r["balance"], r["n"]) for r in memory.rows} == want
+    assert all(r["rich"] == (r["balance"] > 100) for r in memory.rows)
+    assert sum(s[0] for s in stream.state["payment"].values()) == 150
+
+
+def test_a_long_history_is_folded(spark):
+    p = Project(LEDGER, spark)
+    rows = [r.asDict() for r in p.frame("payment").collect()]
+    assert {r["_index"]: (r["balance"], r["n"]) for r in rows} == folded(rows)
+
+
+def test_a_stream_drops_what_fails(spark):
+    spec = {**LEDGER, "entities": {**LEDGER["entities"], "payment": {**LEDGER["entities"]["payment"], "assertions": ["amount > 0"]}}}
+    memory = sinks.Memory(1000)
+    stats = live.Live(Project(spec, spark), {"payment": "400/s"}, [memory], validate="skip").run(max_records=60, pause=0.05)
+    assert 0 < stats.invalid < 60 and len(memory.rows) == 60 - stats.invalid and all(r["amount"] > 0 for r in memory.rows)
