@@ -148,3 +148,10 @@ def model_benchmark(runs: DataFrame) -> DataFrame:
     """Scores by model of (model, valid, usable, tokens, millis), best first."""
     out = runs.groupBy("model").agg(F.avg(F.col("valid").cast("double")).alias("valid"), F.avg(F.col("usable").cast("double")).alias("usable"), (F.sum("tokens") / (F.sum("millis") / 1000)).alias("tokens_per_s"), F.avg("millis").alias("millis"))
     return out.orderBy(F.desc("usable"), F.desc("valid"), F.desc("tokens_per_s"), "model")
+
+
+#: Models, images and speech by provider, as columns of what they are asked with.
+LANGUAGE_MODELS: dict[str, Callable] = {"mock": mock_text}
+IMAGES: dict[str, Callable] = {"procedural": procedural_image}
+SPEECH: dict[str, Callable] = {"procedural": procedural_speech}
+

@@ -619,27 +619,34 @@ def _script(o, c):
 
 @generator("llm", "language_model", "ai", "gpt")
 def _llm(o, c):
-    from spindrift.operators.enrichment import mock_text
+    from spindrift.operators.enrichment import LANGUAGE_MODELS
 
-    if str(opt(o, "provider", default="mock")) != "mock":
-        return unavailable(o, c, f"provider {o['provider']}")
+    name = str(opt(o, "provider", default="mock"))
+    if name not in LANGUAGE_MODELS:
+        return unavailable(o, c, f"provider {name}")
     context = [c.column(n).cast("string") for n in opt(o, "context", default=[]) if n in c.columns]
-    return mock_text(F.lit(str(opt(o, "prompt", "description", default=c.name))), F.concat_ws("; ", *context) if context else F.lit(""), c.draws.bits("llm"), int(opt(o, "max_tokens", default=40)))
+    return LANGUAGE_MODELS[name](F.lit(str(opt(o, "prompt", "description", default=c.name))), F.concat_ws("; ", *context) if context else F.lit(""), c.draws.bits("llm"), int(opt(o, "max_tokens", default=40)))
 
 
 @generator("image", "invokeai", "text_to_image")
 def _image(o, c):
-    from spindrift.operators.enrichment import procedural_image
+    from spindrift.operators.enrichment import IMAGES
 
-    return F.concat(F.lit("image-"), F.sha2(procedural_image(c.draws.bits("image"), F.lit(int(opt(o, "width", default=64))), F.lit(int(opt(o, "height", default=64)))), 256), F.lit(".png"))
+    name = str(opt(o, "provider", default="procedural"))
+    if name not in IMAGES:
+        return unavailable(o, c, f"provider {name}")
+    return F.concat(F.lit("image-"), F.sha2(IMAGES[name](c.draws.bits("image"), F.lit(int(opt(o, "width", default=64))), F.lit(int(opt(o, "height", default=64)))), 256), F.lit(".png"))
 
 
 @generator("tts", "speech", "voice")
 def _tts(o, c):
-    from spindrift.operators.enrichment import procedural_speech
+    from spindrift.operators.enrichment import SPEECH
 
+    name = str(opt(o, "provider", default="procedural"))
+    if name not in SPEECH:
+        return unavailable(o, c, f"provider {name}")
     text = c.expression(str(o["source"])).col.cast("string") if opt(o, "source") else F.lit(str(opt(o, "text", default=c.name)))
-    return F.concat(F.lit("audio-"), F.sha2(procedural_speech(text, F.lit(int(opt(o, "sample_rate", default=8000)))), 256), F.lit(".wav"))
+    return F.concat(F.lit("audio-"), F.sha2(SPEECH[name](text, F.lit(int(opt(o, "sample_rate", default=8000)))), 256), F.lit(".wav"))
 
 
 @generator("document", "pdf", "invoice", "report")

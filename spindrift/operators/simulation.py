@@ -328,8 +328,16 @@ def fold_long(df: DataFrame, subject: str, ordinal: str, variable: str, initial:
 
 
 # ---------------------------------------------------------------- scenarios
+#: Scenarios that a project takes up by `use`, its own keys over theirs.
+SCENARIOS: dict[str, dict[str, Any]] = {}
+
+
 class Scenario:
     def __init__(self, name: str, spec: dict[str, Any]):
+        if used := spec.get("use"):
+            if used not in SCENARIOS:
+                raise ValueError(f"{name}: unknown scenario {used!r}; known: {', '.join(sorted(SCENARIOS))}")
+            spec = {**SCENARIOS[used], **{k: v for k, v in spec.items() if k != "use"}}
         p = spec.get("parameters") or {}
         self.name, self.enabled = name, bool(spec.get("enabled", True))
         self.applies_to = [spec["applies_to"]] if isinstance(spec.get("applies_to"), str) else list(spec.get("applies_to") or [])

@@ -29,6 +29,10 @@ class Check:
     severity: str = "error"
 
 
+#: Checks that a project asks for by name in quality.validators: make(frame, options) -> list of Check.
+VALIDATORS: dict[str, Any] = {}
+
+
 # ---------------------------------------------------------------- structure and constraints
 def structural(x: Column, name: str, type_name: str, nullable: bool) -> tuple[Column, list[Check]]:
     """The value repaired by coercion where its check fails, and what remains wrong."""

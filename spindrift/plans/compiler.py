@@ -427,6 +427,11 @@ class Project:
             out += structure + validation.constraints(F.col(f"`{n}`"), n, f.spec.constraints, isinstance(kind, T.StringType), isinstance(kind, T.ArrayType))
         log = "_chaos" if "_chaos" in df.columns else None
         out += validation.assertions(df, e.spec.assertions, log)
+        asked = self.spec.quality.get("validators") or {}
+        for v, options in (asked if isinstance(asked, dict) else dict.fromkeys(asked, {})).items():
+            if v not in validation.VALIDATORS:
+                raise SpecError(f"unknown validator {v!r}; known: {', '.join(sorted(validation.VALIDATORS))}")
+            out += validation.VALIDATORS[v](df, options or {})
         policy = self.spec.privacy.get("policy")
         if policy:
             text = {n: F.col(f"`{n}`") for n, f in e.fields.items() if isinstance(spark_type(f.type), T.StringType)}
@@ -450,6 +455,31 @@ class Project:
     def quality(self, name: str) -> DataFrame:
         return validation.statistics(self.validated(name), "_issues")
 
+    def quality_report(self, name: str) -> DataFrame:
+        """One row of shares from 0 to 1: schema and constraint validity, uniqueness, referential
+        integrity over all references, the mean match of declared shares, and model answers
+        that fit their field. A share of nothing is 1."""
+        e, df = self.entities[name], self.frame(name)
+        checked, broken = 0, 0
+        if (r := self.integrity(name)) is not None:
+            checked, broken = r.agg(F.sum("checked"), F.sum("broken")).first()
+        matches, answered, written = [], 0, 0
+        for n, f in e.fields.items():
+            if f.generator == "weighted" and not f.spec.transform:
+                d = validation.distribution(df.where(F.col(f"`{n}`").isNotNull()), n, {str(k): w for k, w in generators.weights_of(opt(f.options, "values", "choices", "weights", "options", default=f.spec.constraints.get("enum")))})
+                if (row := d.first()) is not None and row.samples:
+                    matches.append(1 - row.distance)
+        models = [n for n, f in e.fields.items() if f.generator == "llm"]
+        if models:
+            fits = [F.count_if(F.col(f"`{n}`").isNotNull() & (F.length(F.col(f"`{n}`").cast("string")) > 0)) for n in models]
+            got = df.agg(F.count(F.lit(1)), *fits).first()
+            answered, written = got[0] * len(models), sum(got[1:])
+        share = lambda bad, of: F.when(F.col(of) > 0, 1 - F.col(bad) / F.col(of)).otherwise(1.0)
+        return self.quality(name).select(
+            "records", share("n_structural", "records").alias("schema_validity"), share("n_constraint", "records").alias("constraint_validity"), share("n_uniqueness", "records").alias("uniqueness"),
+            F.lit(1 - broken / checked if checked else 1.0).alias("referential_integrity"), F.lit(sum(matches) / len(matches) if matches else 1.0).alias("distribution_match"), F.lit(written / answered if answered else 1.0).alias("llm_parse_success"),
+        )
+
     def integrity(self, name: str) -> DataFrame | None:
         """(field, checked, broken, integrity) of each reference."""
         e, out = self.entities[name], None

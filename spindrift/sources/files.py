@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from spindrift.operators import patches
 
 FORMATS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "csv": "csv", "parquet": "parquet", "sqlite": "sqlite", "db": "sqlite", "sql": "sql"}
+#: Formats added by name: write(frame, path, mode, options).
+WRITERS: dict[str, Any] = {}
 #: Different values of the partition columns that one write may have.
 MOST_PARTITIONS = 512
 NULL_PARTITION = "__null__"
@@ -22,6 +24,8 @@ NULL_PARTITION = "__null__"
 
 def format_of(path: str, given: str | None = None) -> str:
     name = given or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if name in WRITERS:
+        return name
     if name not in FORMATS:
         raise ValueError(f"unknown format {name!r}; known: {', '.join(FORMATS)}")
     return FORMATS[name]
@@ -74,6 +78,8 @@ def with_date_parts(df: DataFrame, names: Iterable[str], source: str | None = No
 
 def write(df: DataFrame, path: str, fmt: str | None = None, partition_by: Iterable[str] = (), mode: str = "errorifexists", table: str = "records", primary_key: str | None = None, relaxed: bool = False, options: dict[str, Any] | None = None) -> None:
     kind, names, options = format_of(path, fmt), list(partition_by), options or {}
+    if kind in WRITERS:
+        return WRITERS[kind](df, path, mode, options)
     if names:
         df = with_date_parts(df, names)
         missing = [n for n in names if n not in df.columns]
