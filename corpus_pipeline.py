@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs; all but the
 last return the columns of documents. run() writes each stage's result as Parquet in the
 shared folder and reads it again for the next.
+
+Defined results: null and empty texts are scored as texts without words (the classifier
+decides), are copies of nothing and never contaminated, hold no secrets, and a null text
+stays null until the tokens stage, which counts none; rows of one key stay or go together
+in near-duplicates (those of the least key of each group stay; a null key is least in a
+group of null keys alone), everywhere else each row is judged by its own text, so repeated
+rows share their fate; an empty table gives an empty result with the stage's columns; texts
+of any length are taken whole; extra columns, of any name, pass through all but the last.
 """
 
 from __future__ import annotations

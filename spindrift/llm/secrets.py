@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.arrays import blocks, let
+
 from .common import Scratch
 
 #: Marks around matches while offsets are taken; neither is in any rule's classes.
@@ -53,19 +55,6 @@ RULES = BASE_RULES + ADDED_RULES
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _blocks(items: Column) -> Column:
-    """An array in runs of about the square root of its size, so that folds which append cost
-    n * sqrt(n) in the size and not its square. A run has an even number of items."""
-    size = F.size(items)
-    step = F.greatest(F.lit(2), (F.ceil(F.sqrt(size) / 2) * 2).cast("int"))
-    return _let(step, lambda n: F.transform(F.sequence(F.lit(0), F.ceil(size / n).cast("int") - 1), lambda b: F.slice(items, b * n + 1, n)))
-
-
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in code points, end exclusive: matches are put between marks and
     the text is split there, so odd pieces are matches and lengths add up to offsets."""
@@ -83,13 +72,13 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     def of_block(x: Column) -> Column:
         return F.aggregate(x["pieces"], F.struct(x["at"].alias("at"), F.lit(False).alias("hit"), none.alias("out")), step, lambda acc: acc["out"])
 
-    def of_blocks(blocks: Column) -> Column:
-        length = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x)))
-        placed = _let(length, lambda n: F.transform(blocks, lambda b, i: F.struct(F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x).alias("at"), b.alias("pieces"))))
+    def of_runs(runs: Column) -> Column:
+        length = F.transform(runs, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x)))
+        placed = let(length, lambda n: F.transform(runs, lambda b, i: F.struct(F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x).alias("at"), b.alias("pieces"))))
         return F.flatten(F.transform(placed, of_block))
 
     pieces = F.split(F.regexp_replace(text, rule.pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    return _let(pieces, lambda p: F.when(F.size(p) < 2, none).otherwise(_let(_blocks(p), of_blocks)))
+    return let(pieces, lambda p: F.when(F.size(p) < 2, none).otherwise(let(blocks(p), of_runs)))
 
 
 class Ledger:
@@ -195,7 +184,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | No
         return F.when(F.size(acc) == 0, more).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), tail, F.filter(more, lambda x: x["s"] > last["e"])))
 
     none = F.array().cast(pair)
-    runs = F.when(F.size(name) > 0, F.aggregate(F.transform(_blocks(F.col(name)), lambda b: F.aggregate(b, none, union)), none, append)).otherwise(none)
+    runs = F.when(F.size(name) > 0, F.aggregate(F.transform(blocks(F.col(name)), lambda b: F.aggregate(b, none, union)), none, append)).otherwise(none)
     rows = rows.withColumn(f"{name}_runs", runs)
     r = F.col(f"{name}_runs")
     starts = F.concat(F.transform(r, lambda x: x["s"]), F.array(F.length(text)))
@@ -203,6 +192,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | No
     gaps = F.arrays_zip(ends.alias("a"), starts.alias("b"))
     # offsets are counted from the front of a string, so gaps are cut from the piece of their block
     cut = lambda b: F.struct(b[0]["a"].alias("from"), b.alias("gaps"), F.substring(F.col(text), b[0]["a"] + 1, F.element_at(b, -1)["b"] - b[0]["a"]).alias("part"))
-    parts = F.transform(_blocks(gaps), cut)
+    parts = F.transform(blocks(gaps), cut)
     kept = F.array_join(F.flatten(F.transform(parts, lambda p: F.transform(p["gaps"], lambda g: F.substring(p["part"], g["a"] - p["from"] + 1, g["b"] - g["a"])))), instead)
     return rows.withColumn(text, F.when(F.col(name).isNotNull() & F.col(text).isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)

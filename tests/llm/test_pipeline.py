@@ -59,3 +59,33 @@ def test_run_equals_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert sorted(map(tuple, got)) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated keys and rows, empty and long texts, and columns of clashing names."""
+    import random
+
+    from . import data
+
+    long = data.prose(random.Random(5), 90_000)
+    texts = [(1, long), (1, long), (2, long), (None, long[:300]), (None, long[:300]), (3, None), (3, ""), (4, "token=abcdefgh9 and more"), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), 1, "x", 2) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long, node int, key string, `__spans` int")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        none = stage(spark, docs.limit(0), sf)
+        assert none.columns == out.columns and none.count() == 0, name
+        if name == "tokens":
+            assert out.count() == len(texts)
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or 0) for r in rows) == [0, 0, 0, 1, 1, 3, 3, 4]
+        elif name == "decontamination":
+            assert len(rows) == len(texts)
+        elif name == "secrets":
+            assert len(rows) == len(texts) and "[REDACTED] and more" in {r.text for r in rows} and sum(r.text is None for r in rows) == 2
+            assert all(r.n_chars is None or r.n_chars == len(r.text or "") for r in rows)
+        else:
+            assert len({(r.doc_id, r.text) for r in rows}) <= len(set(texts))
