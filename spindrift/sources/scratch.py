@@ -83,10 +83,16 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+try:
+    _libc = ctypes.CDLL(None)
+    # glibc raises this threshold as large arrays come and go, after which their memory stays with the process
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 def trim() -> None:
     """Gives memory that was freed back to the system: workers live on between stages, and an executor's limit counts what they keep."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
