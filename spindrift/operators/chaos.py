@@ -126,8 +126,25 @@ def damage(df: DataFrame, entity: str, index: str, seed: int | str, spec: dict[s
         # a projection for each kind: nested in one, the expressions would multiply
         d = Draws(seed, entity, F.col(index), f"chaos.{kind}", mode)
         which = F.when(d.u("hit") < rate[kind], F.floor(d.u("field") * len(own)))
-        made = {f.name: F.col(f"`__late_{f.name}`") if kind == "temporal_anomalies" and f.name in times else damaged(F.col(f"`{f.name}`"), f.dataType, kind, d) for f in own}
         out = out.withColumn("__which", which)
+        # texts are damaged in one place, whichever field is hit: the expression is long
+        texts = [(i, f.name) for i, f in enumerate(own) if isinstance(f.dataType, T.StringType) and not (kind == "temporal_anomalies" and f.name in times)]
+        hit = F.lit(None).cast("string")
+        for i, n in texts:
+            hit = F.when(F.col("__which") == i, F.col(f"`{n}`")).otherwise(hit)
+        shared = damaged(F.col("__text"), T.StringType(), kind, d) if texts else None
+        if shared is not None:
+            out = out.withColumn("__text", hit).withColumn("__text", shared)
+        names_of_texts = {n for _, n in texts}
+
+        def new(f: T.StructField) -> Column | None:
+            if kind == "temporal_anomalies" and f.name in times:
+                return F.col(f"`__late_{f.name}`")
+            if f.name in names_of_texts:
+                return None if shared is None else F.col("__text")
+            return damaged(F.col(f"`{f.name}`"), f.dataType, kind, d)
+
+        made = {f.name: new(f) for f in own}
         fresh = {f"__new_{n}": F.when((F.col("__which") == i) & F.col(f"`{n}`").isNotNull(), F.struct(x.alias("v"))) for i, (n, x) in enumerate(made.items()) if x is not None}
         out = out.withColumns(fresh)
         names = [n[6:] for n in fresh]
@@ -135,7 +152,7 @@ def damage(df: DataFrame, entity: str, index: str, seed: int | str, spec: dict[s
         hit = F.coalesce(*changed) if changed else F.lit(None).cast("string")
         noted = F.map_concat(F.map_filter(log, lambda k, v: k != F.col("__hit")), F.create_map(F.col("__hit"), F.lit(kind)))
         out = out.withColumn("__hit", hit).withColumns({n: F.when(F.col(f"`__new_{n}`").isNotNull(), F.col(f"`__new_{n}`.v")).otherwise(F.col(f"`{n}`")) for n in names} | {log: F.when(F.col("__hit").isNotNull(), noted).otherwise(F.col(log))})
-        out = out.drop("__which", "__hit", *fresh)
+        out = out.drop("__which", "__hit", "__text", *fresh)
     if rate["duplicates"] > 0:
         again = Draws(seed, entity, F.col(index), "chaos.duplicates", mode).u("hit") < rate["duplicates"]
         copies = F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))

@@ -108,6 +108,14 @@ def with_repeats(df: DataFrame, keys: list[str | Column], order: str, name: str)
     return joined.withColumn(name, F.coalesce((F.col(order) > F.col("__first")) | (alike > 1), F.lit(False))).drop(*named, "__salt", "__first")
 
 
+def repeats(key: str, order: str) -> Column:
+    """True for the second and later rows of a value by `order`; nulls don't count and are dealt
+    by their order. One sorted stream for each value: for generated frames, whose expressions
+    are too long to be run again for a join, and whose values seldom repeat."""
+    w = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(order))).orderBy(order)
+    return F.col(key).isNotNull() & (F.row_number().over(w) > 1)
+
+
 def orphans(child: DataFrame, foreign: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose non-null reference has no parent, by any kind of key."""
     p = parent.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull())

@@ -449,7 +449,7 @@ class Project:
         copy = F.map_contains_key("_chaos", F.lit("@duplicate")) if log else F.lit(False)
         for n in unique:
             issue = F.array(F.struct(F.lit(n).alias("field"), F.lit("uniqueness").alias("category"), F.lit("repeated").alias("message"), F.lit("error").alias("severity")))
-            df = validation.with_repeats(df, [n], "_index", "_r").withColumn("_issues", F.when(F.col("_r") & ~copy, F.concat("_issues", issue)).otherwise(F.col("_issues"))).drop("_r")
+            df = df.withColumn("_r", validation.repeats(n, "_index")).withColumn("_issues", F.when(F.col("_r") & ~copy, F.concat("_issues", issue)).otherwise(F.col("_issues"))).drop("_r")
         return df
 
     def quality(self, name: str) -> DataFrame:
