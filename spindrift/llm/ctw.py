@@ -40,6 +40,8 @@ SPLIT = 3  # context bytes that a group shares
 #: Keys that a task works on at once, if no group has more.
 GROUP_KEYS = 100_000
 BLOCK_BYTES = 24 << 20
+#: Blocks that a task has at most on average.
+BLOCKS_OF_TASK = 4
 #: Stands for the end among the words' hashes.
 _END_WORD = 0
 SMOOTH = 0.1
@@ -416,6 +418,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     parts = partitions(spark)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("key"), F.xxhash64("t"), F.lit("block")), F.lit(blocks)).cast("int"))
 
+    few = max(parts, blocks // BLOCKS_OF_TASK)  # what a task reads is bounded, whatever the number of blocks
+    rows = rows.repartition(few, "block")
+
     # ordered longs are small as differences
     thin = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
     asked = scratch.save(rows.groupBy("block").applyInArrow(_ask, "block int, k long, word boolean, n long"), **thin)
@@ -469,4 +474,4 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         })
 
     schema = f"key {dict(rows.dtypes)['key']}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, schema).withColumnRenamed("key", key)
+    return rows.groupBy("block").cogroup(told.repartition(few, "block").groupBy("block")).applyInArrow(answer, schema).withColumnRenamed("key", key)
